@@ -1,6 +1,6 @@
 """Imports every query module, so that all queries are registered."""
 
-from registry import features, labels, sessions  # noqa: F401
+from registry import features, ingest, labels, sessions  # noqa: F401
 from registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

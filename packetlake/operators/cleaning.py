@@ -100,7 +100,10 @@ def validation_errors() -> Column:
 def raw_record(df: DataFrame) -> Column:
     """The typed row as JSON text, unknown extra columns and nulls included."""
     fields = [F.col(f"`{name}`") for name in df.columns]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return F.to_json(
+        F.struct(*fields),
+        {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"},
+    )
 
 
 def check_packets(df: DataFrame, *extra: str) -> DataFrame:

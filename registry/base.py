@@ -389,4 +389,5 @@ def with_tables(names: str, body: str, idle_micros: int = 60_000_000) -> str:
         if name == "flagged":
             text = text.replace("{idle}", str(idle_micros))
         parts.append(f"{name} AS ({text})")
+    # A body may go on with further tables of its own.
     return f"WITH {', '.join(parts)}\n{body.strip()}"

@@ -55,7 +55,7 @@ def _(t):
 
 
 @query("raw_record", with_tables("typed_packets", """
-SELECT packet_id, json_object('captured_at', strftime(captured_at, '%Y-%m-%dT%H:%M:%S.%gZ'),
+SELECT packet_id, json_object('captured_at', strftime(captured_at, '%Y-%m-%dT%H:%M:%S.%fZ'),
   'src_ip', src_ip, 'dst_ip', dst_ip, 'src_port', src_port, 'dst_port', dst_port, 'protocol', protocol,
   'packet_size', packet_size, 'tcp_flags', tcp_flags, 'payload_hash', payload_hash)::VARCHAR AS raw_record
 FROM typed_packets"""))

@@ -51,12 +51,14 @@ def hashed_row_number(
     digest: Column,
     out: str,
     at_most: int | None = None,
+    total: str = "_total",
 ) -> DataFrame:
     """Row number per key in the order of a hex ``digest``.
 
     A digest is uniform, so slicing on its first digits gives even slices
     whatever the size of a key. With ``at_most``, slices that start beyond it
-    are dropped before anything is sorted.
+    are dropped before anything is sorted. Another name for ``total`` keeps
+    the number of rows per key in that column.
     """
     rows = df.withColumn("_digest", digest).withColumn(
         "_slice", F.substring("_digest", 1, DIGEST_PREFIX)
@@ -66,7 +68,10 @@ def hashed_row_number(
         keys,
         "_slice",
         [F.count("*").alias("_n")],
-        lambda w: [(F.sum("_n").over(w) - F.col("_n")).alias("_offset")],
+        lambda w: [
+            (F.sum("_n").over(w) - F.col("_n")).alias("_offset"),
+            F.sum("_n").over(W.partitionBy(*keys)).alias(total),
+        ],
     )
     if at_most is not None:
         offsets = offsets.filter(F.col("_offset") < at_most)
@@ -76,7 +81,7 @@ def hashed_row_number(
     )
     if at_most is not None:
         numbered = numbered.filter(F.col(out) <= at_most)
-    return numbered.drop("_digest", "_slice", "_offset")
+    return numbered.drop("_digest", "_slice", "_offset", "_total")
 
 
 def exact_quantiles(

@@ -1,6 +1,6 @@
 """Imports every query module, so that all queries are registered."""
 
-from registry import alerts, features, ingest, labels, quality, sessions, traffic  # noqa: F401
+from registry import alerts, features, ingest, labels, models, quality, sessions, traffic, training  # noqa: F401
 from registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlake.functions.ordered import hashed_row_number
+from packetlake.operators.anomaly import IsolationForest
 from packetlake.operators.labels import label_ids
 from packetlake.operators.training import Scaler
 from packetlake.schemas import BENIGN, FEATURE_COLS, FLAG_FEATURES
@@ -82,10 +83,13 @@ class Classifier:
 
     def probabilities(self, features: DataFrame) -> DataFrame:
         """``features`` with ``probabilities`` (array, by class)."""
-        prepared = self.scaler.apply(model_inputs(features))
-        keep = [c for c in features.columns if c not in FEATURE_COLS]
-        scored = self.pipeline.transform(prepared)
-        return scored.select(*keep, vector_to_array("probability").alias("probabilities"))
+        # The inputs are scaled under their own names; the originals wait in
+        # a struct.
+        original = F.struct(*[F.col(f"`{c}`") for c in features.columns]).alias("_row")
+        prepared = self.scaler.apply(model_inputs(features.select(original, *features.columns)))
+        return self.pipeline.transform(prepared.select("_row", *FEATURE_COLS)).select(
+            "_row.*", vector_to_array("probability").alias("probabilities")
+        )
 
     def predict(self, features: DataFrame) -> DataFrame:
         """``predicted_label`` (most probable class) and ``confidence``."""
@@ -97,6 +101,27 @@ class Classifier:
         )
 
 
+@dataclass(frozen=True)
+class DetectionModel:
+    """What one model version consists of."""
+
+    version: str
+    classifier: Classifier
+    forest: IsolationForest
+
+    def score(self, features: DataFrame) -> DataFrame:
+        """``features`` with predicted_label, confidence, anomaly_score and
+        is_anomaly."""
+        classified = self.classifier.predict(features).drop("probabilities")
+        original = F.struct(*[F.col(f"`{c}`") for c in classified.columns]).alias("_row")
+        scaled = self.classifier.scaler.apply(
+            model_inputs(classified.select(original, *features.columns))
+        )
+        return self.forest.score(scaled.select("_row", *FEATURE_COLS)).select(
+            "_row.*", "anomaly_score", "is_anomaly"
+        )
+
+
 def model_inputs(features: DataFrame) -> DataFrame:
     """All 17 inputs as doubles; absent or null inputs count as 0."""
     return features.withColumns({
@@ -225,6 +250,16 @@ def prediction_rows(scored: DataFrame, labels: DataFrame, version: str, now: Col
     )
 
 
+def batch_score(
+    features: DataFrame, predictions: DataFrame, labels: DataFrame,
+    model: DetectionModel, now: Column,
+) -> DataFrame:
+    """Prediction rows for the sessions ``model`` has not scored yet."""
+    waiting = sessions_to_score(features, predictions, model.version)
+    scored = model.score(waiting.select("session_id", *FEATURE_COLS))
+    return prediction_rows(scored, labels, model.version, now)
+
+
 def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Predictions after the upsert on (session_id, model_version): a known
     pair keeps its id and takes label, confidence, features and time.

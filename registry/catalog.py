@@ -1,6 +1,8 @@
 """Imports every query module, so that all queries are registered."""
 
-from registry import alerts, features, ingest, labels, models, quality, sessions, traffic, training  # noqa: F401
+from registry import (  # noqa: F401
+    alerts, features, ingest, labels, ml, models, quality, sessions, traffic, training,
+)
 from registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

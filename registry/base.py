@@ -21,7 +21,7 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Input tables of one folder. Row-wise tables stay lazy; the results of
+    """Input tables of one folder. The packet tables and the results of
     sessionization and feature extraction are stored once, as a deployment
     stores them, and read back by every query that builds on them."""
 
@@ -32,13 +32,13 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return ev.read_table(self.spark, self.folder, name)
 
-    @property
+    @cached_property
     def packets(self) -> DataFrame:
-        return ev.packets_from_events(self.table("events"))
+        return store_stage(ev.packets_from_events(self.table("events")), "packets")
 
-    @property
+    @cached_property
     def raw_packets(self) -> DataFrame:
-        return ev.raw_packets(self.packets)
+        return store_stage(ev.raw_packets(self.packets), "raw-packets")
 
     @property
     def predictions(self) -> DataFrame:
@@ -56,9 +56,9 @@ class Tables:
     def staging(self) -> DataFrame:
         return ev.staging_from_events(self.table("events"))
 
-    @property
+    @cached_property
     def flow_records(self) -> DataFrame:
-        return ev.flow_records(self.table("lineitem"))
+        return store_stage(ev.flow_records(self.table("lineitem")), "flow-records")
 
     @property
     def labels(self) -> DataFrame:

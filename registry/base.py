@@ -18,6 +18,8 @@ from packetlake.sources import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# The operators as registered, before ``publish`` makes results comparable.
+OPERATORS: dict[str, Callable[["Tables"], DataFrame]] = {}
 
 
 class Tables:
@@ -158,6 +160,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
+        OPERATORS[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn

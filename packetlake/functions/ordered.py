@@ -97,22 +97,22 @@ def exact_quantiles(
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     low_p = [max(p - BRACKET_MARGIN, 0.0) for p in probabilities]
     high_p = [min(p + BRACKET_MARGIN, 1.0) for p in probabilities]
+    half = len(low_p)
     present = long_form.select(key, value).filter(F.col(value).isNotNull())
     stats = present.groupBy(key).agg(
         F.count("*").alias("_n"),
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
-        F.percentile_approx(value, low_p, SKETCH_ACCURACY).alias("_low"),
-        F.percentile_approx(value, high_p, SKETCH_ACCURACY).alias("_high"),
+        F.percentile_approx(value, low_p + high_p, SKETCH_ACCURACY).alias("_ends"),
     )
     small = F.col("_n") <= SMALL_COLUMN
     brackets = stats.select(
         key,
         "_n",
         F.when(small, F.transform(wanted, lambda _: F.col("_min")))
-        .otherwise(F.col("_low")).alias("_low"),
+        .otherwise(F.slice("_ends", 1, half)).alias("_low"),
         F.when(small, F.transform(wanted, lambda _: F.col("_max")))
-        .otherwise(F.col("_high")).alias("_high"),
+        .otherwise(F.slice("_ends", half + 1, half)).alias("_high"),
     ).select(
         key,
         "_n",

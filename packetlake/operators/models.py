@@ -150,17 +150,20 @@ def fit_logistic(train: DataFrame, scaler: Scaler) -> Classifier:
     """Multinomial logistic regression with unit L2 penalty on the summed loss."""
     rows, indexer, assembler = _prepare(train, scaler)
     indexer_model = indexer.fit(rows)
-    vectors = assembler.transform(indexer_model.transform(rows)).select("label", "features_vec")
+    vectors = assembler.transform(indexer_model.transform(rows)).select(
+        "label", "features_vec"
+    ).persist()
     model = LogisticRegression(
         featuresCol="features_vec", family="multinomial", maxIter=LOGISTIC_ITERATIONS,
         standardization=False, regParam=1.0 / max(vectors.count(), 1),
     ).fit(vectors)
+    vectors.unpersist()
     return _finish(indexer_model, [assembler, model], scaler)
 
 
 def fit_random_forest(
     train: DataFrame, scaler: Scaler, trees: int = FOREST_TREES,
-    depth: int = FOREST_DEPTH, folds: int = CV_FOLDS, parallelism: int = 1,
+    depth: int = FOREST_DEPTH, folds: int = CV_FOLDS, parallelism: int = CV_FOLDS,
 ) -> Classifier:
     """Random forest, checked by cross-validated weighted F1 over the grid.
 
@@ -169,7 +172,9 @@ def fit_random_forest(
     """
     rows, indexer, assembler = _prepare(train, scaler)
     indexer_model = indexer.fit(rows)
-    vectors = assembler.transform(indexer_model.transform(rows)).select("label", "features_vec")
+    vectors = assembler.transform(indexer_model.transform(rows)).select(
+        "label", "features_vec"
+    ).persist()
     forest = RandomForestClassifier(
         featuresCol="features_vec", seed=SEED, featureSubsetStrategy="sqrt",
         minInstancesPerNode=max(FOREST_MIN_SPLIT // 2, 1),
@@ -184,6 +189,7 @@ def fit_random_forest(
         numFolds=folds, seed=SEED, parallelism=parallelism,
     )
     best = search.fit(vectors).bestModel.stages[-1]
+    vectors.unpersist()
     return _finish(indexer_model, [assembler, best], scaler)
 
 

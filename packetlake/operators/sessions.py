@@ -24,6 +24,7 @@ from packetlake.functions.ordered import carry_slices, hashed_row_number, slice_
 
 IDLE_SECONDS = 60.0
 SLICE_SECONDS = 10.0
+HUGE_SESSION = 1_000_000
 
 FLOW_KEY = ["low_ip", "high_ip", "low_port", "high_port", "flow_protocol"]
 UNSESSIONIZED_COLS = [
@@ -250,17 +251,35 @@ def upsert_sessions(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def session_ids(assignments: DataFrame, sessions: DataFrame) -> DataFrame:
+    """packet_id -> session_id.
+
+    A very large session would send all its packets to one task of the join.
+    Sessions of at least ``HUGE_SESSION`` packets number at most the packets
+    divided by it, so they are broadcast; their packets then go through the
+    join under keys of their own, which spread.
+    """
+    ids = sessions.select("flow_hash", "session_id", "packet_count")
+    huge = F.broadcast(
+        ids.filter(F.col("packet_count") >= HUGE_SESSION)
+        .select("flow_hash", F.col("session_id").alias("_huge_id"))
+    )
+    marked = assignments.join(huge, "flow_hash", "left").withColumn(
+        "_key",
+        F.when(F.col("_huge_id").isNull(), F.col("flow_hash"))
+        .otherwise(F.col("packet_id").cast("string")),
+    )
+    others = ids.select(F.col("flow_hash").alias("_key"), F.col("session_id").alias("_id"))
+    return marked.join(others, "_key", "left").select(
+        "packet_id", F.coalesce("_huge_id", "_id").alias("session_id")
+    )
+
+
 def link_packets(
     packets: DataFrame, assignments: DataFrame, sessions: DataFrame
 ) -> DataFrame:
-    """Packets with session_id set from their assignment.
-
-    The packet table joins on packet_id only. Resolving flow_hash to an id
-    happens on the two-column assignments, whose busy sessions AQE splits.
-    """
-    resolved = assignments.join(
-        sessions.select("flow_hash", F.col("session_id").alias("_new_id")), "flow_hash"
-    ).select("packet_id", "_new_id")
+    """Packets with session_id set from their assignment."""
+    resolved = session_ids(assignments, sessions).withColumnRenamed("session_id", "_new_id")
     return (
         packets.join(resolved, "packet_id", "left")
         .withColumn("session_id", F.coalesce("_new_id", "session_id"))

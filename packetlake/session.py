@@ -16,6 +16,8 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above this size; Spark then splits them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = (
@@ -41,13 +43,14 @@ def apply_sql_defaults(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it.
 
-    Only an unset ``spark.checkpoint.dir`` (tests, a laptop) falls back to a
-    new temporary folder.
+    Only where neither ``spark.checkpoint.dir`` nor a checkpoint folder is set
+    (tests, a laptop), a new temporary folder becomes the checkpoint folder.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="packetlake-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="packetlake-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

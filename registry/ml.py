@@ -6,7 +6,7 @@ from packetlake.operators import anomaly as N
 from packetlake.operators import metrics as E
 from packetlake.operators import models as M
 from packetlake.operators import training as T
-from packetlake.session import shared_folder
+from packetlake.session import shared_folder, store_stage
 from packetlake.sources.model_store import load_model, save_model
 from registry.base import query
 
@@ -19,7 +19,7 @@ class Fitted:
     def __init__(self, t):
         self.t = t
         split = T.stratified_split(T.export_labeled(t.labeled, t.labels), "session_id")
-        split = T.flags_to_int(split)
+        split = store_stage(T.flags_to_int(split), "split")
         self.train = split.filter(F.col("split") == "train")
         self.test = split.filter(F.col("split") == "test")
         self.scaler = T.fit_scaler(self.train)
@@ -35,7 +35,7 @@ class Fitted:
     @property
     def classifier(self):
         if self._classifier is None:
-            self._classifier = M.fit_random_forest(self.train, self.scaler, parallelism=2)
+            self._classifier = M.fit_random_forest(self.train, self.scaler)
         return self._classifier
 
     @property

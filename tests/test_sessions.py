@@ -172,3 +172,14 @@ def test_upsert_adds_to_known_sessions(spark):
     once = S.upsert_sessions(empty, new)
     (twice,) = S.upsert_sessions(once, new).collect()
     assert (twice.session_id, twice.packet_count, twice.total_bytes) == (1, 4, 400)
+
+
+@pytest.mark.parametrize("huge", [1, 3, 10**6])
+def test_huge_sessions_link_like_others(spark, monkeypatch, huge):
+    monkeypatch.setattr(S, "HUGE_SESSION", huge)
+    rows = packets(spark, [packet(i, i) for i in range(5)] + [packet(9, 0, dst="10.0.0.7")])
+    empty = spark.createDataFrame([], schemas.SESSIONS_SCHEMA)
+    sessions = S.upsert_sessions(empty, S.build_sessions(rows))
+    linked = S.session_ids(S.packet_assignments(S.assign_sessions(rows)), sessions)
+    counts = linked.groupBy("session_id").count().join(sessions, "session_id").collect()
+    assert sorted((r["count"], r.packet_count) for r in counts) == [(1, 1), (5, 5)]

@@ -178,6 +178,9 @@ def fit_random_forest(
     forest = RandomForestClassifier(
         featuresCol="features_vec", seed=SEED, featureSubsetStrategy="sqrt",
         minInstancesPerNode=max(FOREST_MIN_SPLIT // 2, 1),
+        # Deep trees: remember each row's node, with its lineage cut in the
+        # checkpoint folder, instead of walking the trees at every level.
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024,
     )
     grid = (
         ParamGridBuilder().addGrid(forest.numTrees, [trees]).addGrid(forest.maxDepth, [depth])

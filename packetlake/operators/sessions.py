@@ -97,9 +97,8 @@ def _sliced_flows(
             F.coalesce((gap > idle) | F.lag("_ends").over(in_slice), F.lit(False)),
         )
         .withColumn("_local", F.sum(F.col("_break").cast("bigint")).over(upto_here))
-        .withColumn(
-            "_tail", F.lead("packet_id").over(in_slice).isNull() & F.col("_ends")
-        )
+        .withColumn("_last", F.lead("packet_id").over(in_slice).isNull())
+        .withColumn("_tail", F.col("_last") & F.col("_ends"))
     )
 
 
@@ -181,19 +180,42 @@ def build_sessions(
 ) -> DataFrame:
     """One row per session with its time span, packet count and bytes.
 
-    Packets shrink to one fragment per (slice, session) before sessions that
-    span several slices are put together.
+    Packets shrink to one fragment per (slice, session) where they were
+    sorted. Only the first and the last fragment of a slice can belong to a
+    session that crosses slices: those meet per flow, at most two per slice.
+    All other fragments are whole sessions and keep partitions of their own,
+    so one shuffle of fragments serves both without a join.
     """
-    sliced = _sliced_flows(packets, idle_seconds, slice_seconds)
-    fragments = sliced.groupBy(*FLOW_KEY, "_slice", "_local").agg(
+    fragments = _sliced_flows(packets, idle_seconds, slice_seconds).groupBy(
+        *FLOW_KEY, "_slice", "_local"
+    ).agg(
         F.min("captured_at").alias("_from"),
         F.max("captured_at").alias("_to"),
         F.count("*").alias("_packets"),
         F.sum("packet_size").alias("_bytes"),
+        F.max("_last").alias("_is_tail"),
+        F.max("_tail").alias("_ended"),
+    )
+    crosses = (F.col("_local") == 0) | F.col("_is_tail")
+    place = ["_own_slice", "_own_local"]
+    placed = fragments.withColumns({
+        name: F.when(~crosses, F.col(column))
+        for name, column in zip(place, ("_slice", "_local"))
+    })
+    in_flow = W.partitionBy(*FLOW_KEY, *place).orderBy("_slice", "_local")
+    gap = _micros_after(F.lag("_to").over(in_flow), F.col("_from"))
+    starts = F.coalesce(
+        (F.col("_local") > 0) | (gap > int(idle_seconds * MICROS))
+        | F.lag("_ended").over(in_flow),
+        F.lit(True),
+    )
+    number = F.sum(F.col("_starts").cast("bigint")).over(
+        in_flow.rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     return (
-        fragments.join(_slice_carry(sliced, idle_seconds), [*FLOW_KEY, "_slice"])
-        .groupBy(*FLOW_KEY, (F.col("_base") + F.col("_local")).alias("session_seq"))
+        placed.withColumn("_starts", starts)
+        .withColumn("_number", number)
+        .groupBy(*FLOW_KEY, *place, "_number")
         .agg(
             F.min("_from").alias("started_at"),
             F.max("_to").alias("ended_at"),

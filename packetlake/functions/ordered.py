@@ -4,7 +4,7 @@ A plain window sorts all rows of a key in a single task, so one hot key holds
 up the job. Here a key's rows are cut into slices along the sort order. Each
 slice is ordered on its own, a summary row per slice (far smaller than the
 data) is ordered per key, and what a slice must know about the slices before
-it is joined back.
+it is joined back. Keys must not be null, since they are joined on.
 """
 
 from __future__ import annotations

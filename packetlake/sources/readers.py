@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from packetlake.operators.training import FLOW_COLUMNS
 
 READERS = {".csv": "csv", ".json": "json"}
+HEADER_READERS = 16
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -29,26 +33,46 @@ def read_packets_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
 
 
+def list_files(spark: SparkSession, glob: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().toString() for status in fs.globStatus(path) or [])
+
+
 def read_flow_csvs(spark: SparkSession, glob: str) -> DataFrame:
     """The mapped columns of every flow CSV with its ``source_file`` name.
 
-    Files are read together under one schema, so a file with other columns in
-    another order must not match ``glob``. Corrupt or vanished files are skipped.
+    Exports differ in columns and their order, so files are read in one scan
+    per distinct header. Files that cannot be read or lack a mapped column are
+    skipped.
     """
-    raw = (
+
+    def header(file: str) -> tuple[str, ...]:
+        try:  # only the first line is read
+            return tuple(spark.read.option("header", True).csv(file).columns)
+        except Exception:  # an unreadable file is skipped like one without the columns
+            return ()
+
+    files = list_files(spark, glob)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(header, files))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file, columns in zip(files, headers):
+        if set(FLOW_COLUMNS) <= set(columns):
+            by_header.setdefault(columns, []).append(file)
+    if not by_header:
+        raise ValueError(f"No flow file with the columns {sorted(FLOW_COLUMNS)} at {glob}")
+    parts = [
         spark.read.option("header", True)
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
-        .option("enforceSchema", False)
-        .csv(glob)
-    )
-    missing = sorted(set(FLOW_COLUMNS) - set(raw.columns))
-    if missing:
-        raise ValueError(f"Flow columns not found: {missing}")
-    return raw.select(
-        F.col("_metadata.file_name").alias("source_file"),
-        *[F.col(f"`{name}`") for name in FLOW_COLUMNS],
-    )
+        .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        .csv(group)
+        .select(
+            F.col("_metadata.file_name").alias("source_file"),
+            *[F.col(f"`{name}`") for name in FLOW_COLUMNS],
+        )
+        for group in by_header.values()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_labels_csv(

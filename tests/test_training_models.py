@@ -128,13 +128,19 @@ def test_flow_files(spark, tmp_path):
     lines += [",".join(["x"] + good[:5] + [bad] + good[6:]) for bad in ("Infinity", "NaN", "")]
     (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
     (tmp_path / "b.csv").write_text("\n".join(lines[:2]) + "\n")
+    # Another column order, and a file that is no flow export.
+    (tmp_path / "c.csv").write_text(
+        ",".join(reversed(names)) + "\n" + ",".join(reversed(good)) + "\n"
+    )
+    (tmp_path / "d.csv").write_text("some,thing\n1,2\n")
+    (tmp_path / "e.csv").write_text("")
     raw = readers.read_flow_csvs(spark, str(tmp_path / "*.csv"))
     assert set(raw.columns) == {"source_file", *names}
     rows = T.process_flows(raw, "source_file").collect()
-    assert sorted(r.source_file for r in rows) == ["a.csv", "b.csv"]
-    row = rows[0]
-    assert (row.duration_sec, row.total_bytes, row.total_packets) == (2.0, 10.0, 4.0)
-    assert row.fwd_bwd_byte_ratio == 10.0 and row.label_code == "BENIGN"
+    assert sorted(r.source_file for r in rows) == ["a.csv", "b.csv", "c.csv"]
+    for row in rows:
+        assert (row.duration_sec, row.total_bytes, row.total_packets) == (2.0, 10.0, 4.0)
+        assert row.fwd_bwd_byte_ratio == 10.0 and row.label_code == "BENIGN"
 
 
 def test_sample_is_exact_and_repeats(spark):

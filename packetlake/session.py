@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -40,6 +42,12 @@ def apply_sql_defaults(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def ship_package() -> None:
+    """Send this package's Python functions to the workers by value, where it
+    is not installed for them or passed with ``--py-files``."""
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it.
 

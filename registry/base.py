@@ -13,7 +13,7 @@ from packetlake import schemas
 from packetlake.operators import features as feature_ops
 from packetlake.operators import labels as label_ops
 from packetlake.operators import sessions as session_ops
-from packetlake.session import apply_sql_defaults, store_stage
+from packetlake.session import apply_sql_defaults, ship_package, store_stage
 from packetlake.sources import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,7 @@ def tables(spark: SparkSession, folder: str) -> Tables:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _TABLES:
         apply_sql_defaults(spark)
+        ship_package()
         _TABLES[key] = Tables(spark, folder)
     return _TABLES[key]
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 # Settings the library relies on; a cluster may raise the sizes.
 SQL_DEFAULTS = {
@@ -51,14 +51,14 @@ def ship_package() -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it.
 
-    Only where neither ``spark.checkpoint.dir`` nor a checkpoint folder is set
-    (tests, a laptop), a new temporary folder becomes the checkpoint folder.
+    ``spark.checkpoint.dir`` first, then the context's checkpoint folder; where
+    neither is set, a folder below the warehouse, which is shared as well.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    folder = (
+        spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    )
     if not folder:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="packetlake-"))
-        folder = context.getCheckpointDir()
+        folder = spark.conf.get(WAREHOUSE_CONF).rstrip("/") + "/packetlake-shared"
     return folder.rstrip("/")
 
 

@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 15
 # Each byte is part of three trigrams, so their likelihoods count a third.
 SHARE = 1 / 3
+# Count of a trigram that a language has not shown.
+SMOOTHING = 0.01
 # Rows that a prior counts like, towards the next level.
 STRENGTH = 20.0
 # Probability that a declared language is right.
@@ -72,12 +74,14 @@ def trigram_counts(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> D
 
 def log_likelihoods(counts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """Logarithms by bucket and class; the last class, for no language, gives
-    each bucket the same probability. At most languages * BUCKETS counts are
+    each bucket the same probability. A language that no row declares is less
+    likely than that throughout. At most languages * BUCKETS counts are
     collected."""
-    table = np.full((BUCKETS, len(languages)), 0.5)
+    table = np.full((BUCKETS, len(languages)), SMOOTHING)
     found = counts.toPandas()
     table[found["bucket"], found["language"]] += found["n"]
     table = np.log(table / table.sum(axis=0))
+    table[:, ~np.isin(np.arange(len(languages)), found["language"])] -= 1.0
     return np.hstack([table, np.full((BUCKETS, 1), -math.log(BUCKETS))])
 
 

@@ -153,7 +153,9 @@ def canonical_lines(text: Column) -> Column:
     out = F.lower(text)
     for pattern, replacement in CANONICAL_STEPS:
         out = F.regexp_replace(out, pattern, replacement.replace("\\1", "$1"))
-    return F.filter(F.transform(F.split(out, "\n", -1), F.trim), lambda line: line != "")
+    return F.filter(
+        F.transform(F.split(out, "\n", -1), lambda line: F.trim(line)), lambda line: line != ""
+    )
 
 
 def _digest(form: Column) -> Column:

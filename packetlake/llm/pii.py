@@ -101,7 +101,7 @@ PROPOSALS = (
     Proposal("phone", r"\+[0-9][ ().0-9-]+[0-9]", phone_number, base=True, needs=r"\+[0-9]"),
     # Cards and phones that a neighbour's digits hide from the patterns above.
     Proposal(
-        "card", r"(?<![0-9])(?<![0-9][ -])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+        "card", r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
         card_number, needs="[0-9]{4}", context="card|visa|credit|debit|payment",
     ),
     Proposal(

@@ -215,7 +215,7 @@ def oracle_sql() -> str:
         out = f"lower({text})"
         for pattern, replacement in CANONICAL_STEPS:
             out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
-        return f"list_filter(list_transform(string_split({out}, chr(10)), x -> trim(x)), x -> x <> '')"
+        return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
     quoted = ", ".join(
         "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in known_texts()

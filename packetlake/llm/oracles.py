@@ -2,17 +2,68 @@
 
 from __future__ import annotations
 
-from packetlake.llm import licenses
+from packetlake.llm import licenses, quality
 
 ORACLES: dict[str, str] = {"op9_licenses": licenses.oracle_sql()}
 ORACLES["op8_top_products"] = """
 WITH v AS (SELECT row_number() OVER () AS row, vec_id,
-    list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT q.vec_id AS query_id, c.vec_id,
     CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score,
     row_number() OVER (PARTITION BY q.row ORDER BY
       list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) DESC, c.vec_id NULLS LAST) AS rank
   FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 20 = 0) WHERE rank <= 20"""
+
+
+
+def _quality_sql() -> str:
+    rate = quality.FALSE_REJECTIONS / len(quality.RULES)
+    scores = ", ".join(
+        f"CAST(CASE WHEN {total} > 0 THEN floor(1000 * {part} / {total}) ELSE 0 END AS BIGINT) AS s_{rule}"
+        for rule, (part, total) in quality.RULES.items()
+    )
+    unpivoted = " UNION ALL ".join(
+        f"SELECT stratum, '{rule}' AS rule, s_{rule} AS score FROM good" for rule in quality.RULES
+    )
+    chosen = ", ".join(f"min(cutoff) FILTER (rule = '{rule}') AS c_{rule}" for rule in quality.RULES)
+    names = ", ".join(f"CASE WHEN s_{rule} > c_{rule} THEN '{rule}' END" for rule in quality.RULES)
+    cutoffs = ", ".join(f"({c})" for c in quality.CUTOFFS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '{quality.NO_STRATUM}') AS stratum,
+  coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+spots AS (SELECT row, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w),
+keyed AS (SELECT row, i, count(*) OVER (PARTITION BY row, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS n
+  FROM spots),
+covered AS (SELECT row, count(DISTINCT spot) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS spot
+  FROM keyed WHERE n > 1) GROUP BY row),
+m AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words,
+  CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words,
+  CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+  CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_shouts
+  FROM w LEFT JOIN covered c USING (row)),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {scores} FROM m),
+good AS (SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels
+  WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+counts AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k
+  FROM ({unpivoted}) CROSS JOIN (VALUES {cutoffs}) c(cutoff) GROUP BY ALL),
+tested AS (SELECT *, CASE WHEN k < n * {rate} THEN (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1)
+      - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate}))) FROM range(0, k + 1) r(i))
+    ELSE 1 END <= {quality.ERROR} / ({len(quality.RULES)} * (SELECT count(DISTINCT stratum) FROM counts)) AS safe
+  FROM counts),
+safe AS (SELECT * FROM (SELECT *, max(cutoff) FILTER (NOT safe) OVER (PARTITION BY stratum, rule) AS unsafe
+  FROM tested) WHERE safe AND cutoff > coalesce(unsafe, -1)),
+chosen AS (SELECT stratum, {chosen} FROM safe GROUP BY stratum),
+judged AS (SELECT s.*, concat_ws(',', {names}) AS rejected_by FROM s LEFT JOIN chosen USING (stratum))
+SELECT doc_id, {", ".join(quality.MEASURES)}, base_failed, NOT base_failed AND rejected_by = '' AS kept,
+  stratum, rejected_by FROM judged"""
+
+
+ORACLES["op4_quality_rules"] = _quality_sql()

@@ -14,6 +14,11 @@ FINGERPRINT_FIELDS = [
 ]
 
 MICROS = 1_000_000
+WHITE_SPACE = " \t\n\r\x0b\x0c"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+TIME_LAYOUTS = (
+    "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a",
+)
 
 
 def safe_div(numerator: Column, denominator: Column) -> Column:
@@ -23,14 +28,27 @@ def safe_div(numerator: Column, denominator: Column) -> Column:
     )
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def parse_captured_at(text: Column) -> Column:
-    """Timestamp in the session time zone; unreadable text becomes null."""
-    return F.try_to_timestamp(text)
+    """Timestamp in the session time zone; unreadable text becomes null.
+
+    ISO text first, then the layouts of flow exports: day first, and month
+    first with AM or PM. A time without a date is unreadable.
+    """
+    parsed = F.coalesce(
+        F.try_to_timestamp(text), *(F.try_to_timestamp(text, F.lit(x)) for x in TIME_LAYOUTS)
+    )
+    return F.when(~text.rlike(r"^T?\d{1,2}:"), parsed)
 
 
 def bounded_int(text: Column, low: int | None = None, high: int | None = None) -> Column:
-    """Whole number within ``[low, high]``; anything else becomes null."""
-    number = text.try_cast("double")
+    """Whole number within ``[low, high]``, or within the 32 bits of the column
+    it is stored in; anything else becomes null."""
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
     keep = (number == F.floor(number)) & (F.abs(number) <= 2_147_483_647)
     if low is not None:
         keep = keep & (number >= low)

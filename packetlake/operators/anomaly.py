@@ -71,15 +71,18 @@ def tree_samples(rows: DataFrame, row_id: str, trees: int, sample_rows: int, see
     """``rows`` with a ``tree`` column, ``sample_rows`` rows (or all, if there
     are fewer) per tree."""
     total = rows.count()
+    drawn = [
+        (tree, int(number) + 1)
+        for tree in range(trees)
+        for number in np.random.default_rng([seed, tree]).choice(
+            total, min(sample_rows, total), replace=False
+        )
+    ]
+    # At most trees * sample_rows pairs, whatever the number of rows.
+    pairs = rows.sparkSession.createDataFrame(drawn, "tree int, _rank bigint")
     ident = F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed)))
-    if total >= trees * sample_rows:
-        # Enough rows for every tree to have its own.
-        picked = hashed_row_number(rows, [], F.md5(ident), "_rank", at_most=trees * sample_rows)
-        return picked.withColumn("tree", (F.col("_rank") % trees).cast("int")).drop("_rank")
-    # Fewer rows than that: trees share rows.
-    shared = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    digest = F.md5(F.concat_ws("|", ident, F.col("tree").cast("string")))
-    return hashed_row_number(shared, ["tree"], digest, "_rank", at_most=sample_rows).drop("_rank")
+    numbered = hashed_row_number(rows, [], F.md5(ident), "_rank")
+    return numbered.join(F.broadcast(pairs), "_rank").drop("_rank")
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlake.functions.columns import bounded_int, fingerprint, parse_captured_at
+from packetlake.functions.columns import bounded_int, fingerprint, parse_captured_at, strip
 
 # Header text -> packet column.
 COLUMN_ALIASES = {
@@ -71,11 +71,11 @@ def type_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "captured_at": (
             F.col("captured_at") if dict(df.dtypes)["captured_at"] == "timestamp"
-            else parse_captured_at(F.trim(present("captured_at")))
+            else parse_captured_at(strip(present("captured_at")))
         ),
-        "src_ip": F.trim(present("src_ip")),
-        "dst_ip": F.trim(present("dst_ip")),
-        "protocol": F.trim(F.upper(present("protocol"))),
+        "src_ip": strip(present("src_ip")),
+        "dst_ip": strip(present("dst_ip")),
+        "protocol": strip(F.upper(present("protocol"))),
         "src_port": bounded_int(present("src_port"), 0, MAX_PORT),
         "dst_port": bounded_int(present("dst_port"), 0, MAX_PORT),
         "packet_size": bounded_int(present("packet_size"), 0),

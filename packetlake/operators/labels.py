@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from packetlake.functions.columns import strip
 from packetlake.schemas import ATTACK_LABELS, BENIGN
 
 # External label text -> label code.
@@ -37,7 +38,7 @@ LABEL_CODES = {
 
 def normalize_label(raw: Column) -> Column:
     """Label code of external text; unknown, empty or null text is BENIGN."""
-    text = F.lower(F.trim(raw))
+    text = F.lower(strip(raw))
     codes = F.create_map(*[F.lit(part) for pair in LABEL_CODES.items() for part in pair])
     own = F.upper(text)
     known = [code for _, code, _, _ in ATTACK_LABELS]

@@ -129,34 +129,53 @@ def sessionize(house: Warehouse, idle_seconds: float = session_ops.IDLE_SECONDS)
     """Sessionize the runs that have no links yet; returns how many runs.
 
     Only those runs' packets are read. Links are stored per run instead of
-    rewriting the packet table.
+    rewriting the packet table. A version of the sessions notes the runs it
+    took in: where a job ended between sessions and links, the next one writes
+    the links of those runs and does not add them again.
     """
     done = set(house.run_ids("links"))
+    unlinked = house.newest_runs("sessions")
+    finished = len(set(unlinked) - done)
+    if finished:
+        _write_links(house, unlinked, idle_seconds)
+        done |= set(unlinked)
     waiting = [r for r in house.run_ids("packets") if r not in done]
-    if not waiting:
-        return 0
-    packets = house.read_runs("packets", PACKET_TABLE_SCHEMA).filter(F.col("run_id").isin(waiting))
-    scanned = session_ops.scan_unsessionized(packets)
+    if waiting:
+        house.replace(
+            "sessions",
+            session_ops.upsert_sessions(
+                house.read("sessions", SESSIONS_SCHEMA),
+                session_ops.build_sessions(_packets_to_scan(house, waiting), idle_seconds),
+            ),
+            waiting,
+        )
+        _write_links(house, waiting, idle_seconds)
+    return finished + len(waiting)
+
+
+def _packets_to_scan(house: Warehouse, runs: list[int]) -> DataFrame:
+    packets = house.read_runs("packets", PACKET_TABLE_SCHEMA).filter(F.col("run_id").isin(runs))
+    return session_ops.scan_unsessionized(packets)
+
+
+def _write_links(house: Warehouse, runs: list[int], idle_seconds: float) -> None:
+    """Links of runs that were sessionized together."""
+    packets = house.read_runs("packets", PACKET_TABLE_SCHEMA).filter(F.col("run_id").isin(runs))
     assigned = store_stage(
-        session_ops.packet_assignments(session_ops.assign_sessions(scanned, idle_seconds)),
-        "assigned",
-    )
-    sessions = house.replace(
-        "sessions",
-        session_ops.upsert_sessions(
-            house.read("sessions", SESSIONS_SCHEMA),
-            session_ops.build_sessions(scanned, idle_seconds),
+        session_ops.packet_assignments(
+            session_ops.assign_sessions(_packets_to_scan(house, runs), idle_seconds)
         ),
+        "assigned",
     )
     linked = store_stage(
         session_ops.link_packets(
-            packets.select("packet_id", "run_id", "session_id"), assigned, sessions
+            packets.select("packet_id", "run_id", "session_id"), assigned,
+            house.read("sessions", SESSIONS_SCHEMA),
         ),
         "links",
     )
-    for run_id in waiting:
+    for run_id in runs:
         house.write_run("links", linked.filter(F.col("run_id") == run_id), run_id)
-    return len(waiting)
 
 
 def linked_packets(house: Warehouse) -> DataFrame:
@@ -191,8 +210,8 @@ def load_labels(house: Warehouse, raw_labels: DataFrame) -> DataFrame:
 
 
 def score(house: Warehouse, model: model_ops.DetectionModel) -> DataFrame:
-    """Score what ``model`` has not scored, then raise the alerts of the new
-    predictions; returns the predictions table."""
+    """Score what ``model`` has not scored, then raise the alerts that are
+    due; returns the predictions table."""
     labels = attack_labels(house.spark)
     old = house.read("predictions", PREDICTIONS_SCHEMA)
     new = store_stage(
@@ -202,10 +221,12 @@ def score(house: Warehouse, model: model_ops.DetectionModel) -> DataFrame:
     merged = house.replace(
         "predictions", model_ops.number_predictions(model_ops.upsert_predictions(old, new))
     )
-    inserted = merged.join(
-        old.select("session_id", "model_version"), ["session_id", "model_version"], "left_anti"
+    # Not the new predictions but those without an alert: a job that ended
+    # before the alerts leaves them to the next one.
+    raised = house.read("alerts", ALERTS_SCHEMA).filter(
+        F.col("rule_name") == alert_ops.PREDICTION_RULE
     )
-    raise_alerts(house, inserted)
+    raise_alerts(house, merged.join(raised.select("prediction_id"), "prediction_id", "left_anti"))
     return merged
 
 

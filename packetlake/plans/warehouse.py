@@ -48,9 +48,11 @@ class Warehouse:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def run_ids(self, table: str) -> list[int]:
+        """Runs whose folder was written to the end."""
         return sorted(
             int(name.removeprefix("run_id="))
-            for name in self._children(table) if name.startswith("run_id=")
+            for name in self._children(table)
+            if name.startswith("run_id=") and "_SUCCESS" in self._children(f"{table}/{name}")
         )
 
     # --- replaced by version ---
@@ -64,11 +66,24 @@ class Warehouse:
         ]
         return max(versions, default=0)
 
-    def replace(self, table: str, df: DataFrame) -> DataFrame:
-        target = f"{self.path(table)}/{VERSION}{self._latest(table) + 1}"
+    def replace(self, table: str, df: DataFrame, runs: list[int] | None = None) -> DataFrame:
+        """Publish a new version. ``runs`` notes the runs that it takes in; the
+        note is written first and counts only once the version is there."""
+        name = f"{VERSION}{self._latest(table) + 1}"
+        if runs is not None:
+            noted = self.spark.createDataFrame([(run,) for run in runs], "run_id int")
+            noted.write.mode("overwrite").parquet(f"{self.path(table)}_runs/{name}")
+        target = f"{self.path(table)}/{name}"
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.parquet(target)
 
+    def newest_runs(self, table: str) -> list[int]:
+        """The runs that the latest version took in."""
+        name = f"{VERSION}{self._latest(table)}"
+        if name not in self._children(f"{table}_runs"):
+            return []
+        return sorted(row.run_id for row in self.spark.read.parquet(f"{self.path(table)}_runs/{name}").collect())
+
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
         latest = self._latest(table)
         if latest == 0 and schema is not None:

@@ -114,9 +114,9 @@ def _(t):
 
 
 @query("stream_traffic_trends", with_tables("packets", f"""
-SELECT epoch_us(minute_bucket) AS minute_bucket, packets_per_minute, bytes_per_minute FROM ({MINUTES})"""))
+SELECT epoch_us(minute_bucket) AS minute_bucket, packets_per_minute, bytes_per_minute, active_source_ips FROM ({MINUTES})"""))
 def _(t):
-    return drain(t, XT.stream_traffic_trends(replay(t)), "trends").drop("active_source_ips")
+    return drain(t, XT.stream_traffic_trends(replay(t)), "trends")
 
 
 @query("stream_active_flows")

@@ -45,10 +45,10 @@ def _(t):
 SELECT prediction_id, session_id, predicted_label_id, CAST(confidence AS DOUBLE) AS confidence, model_version,
   label_code AS predicted_label, epoch_us(created_at) AS created_at
 FROM predictions LEFT JOIN attack_labels ON label_id = predicted_label_id
-WHERE model_version = 'v1_b' AND label_code = 'PROBE'
+WHERE model_version = 'v1_b' AND label_code = 'DOS'
 ORDER BY predictions.created_at DESC, prediction_id DESC LIMIT 100"""))
 def _(t):
-    return Ls.list_predictions(t.predictions, t.labels, model_version="v1_b", label="probe")
+    return Ls.list_predictions(t.predictions, t.labels, model_version="v1_b", label="dos")
 
 
 @query("list_ingestion_runs", with_tables("runs", """

@@ -17,7 +17,7 @@ def as_text(df):
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns if c != "packet_id"])
 
 
-def test_pipeline_from_file_to_alert(spark, tmp_path):
+def test_pipeline_from_file_to_alert(spark, tmp_path, monkeypatch):
     house = Warehouse(spark, str(tmp_path / "house"))
     packets = packets_from_events(read_table(spark, FOLDER, "events"))
     half = packets.filter("packet_id < 500")
@@ -55,6 +55,11 @@ def test_pipeline_from_file_to_alert(spark, tmp_path):
 
     rows = T.training_export(labeled, attack_labels(spark))
     model = train(spark, rows, "v1_20260101000000", trees=5, depth=5, folds=2).model
+    # A job that ends before the alerts leaves them to the next one.
+    with monkeypatch.context() as patch:
+        patch.setattr(batch, "raise_alerts", lambda *_: (_ for _ in ()).throw(OSError("no space")))
+        with pytest.raises(OSError):
+            batch.score(house, model)
     predictions = batch.score(house, model)
     assert predictions.count() == features.count()
     certain = predictions.filter("confidence >= 0.9 AND predicted_label_id = 2").count()
@@ -66,6 +71,45 @@ def test_pipeline_from_file_to_alert(spark, tmp_path):
     assert Ls.list_alerts(alerts, status="open", limit=5).count() == 5
 
 
+@pytest.mark.parametrize("fail_on", ["sessions", "links"])
+def test_sessionize_again_after_a_failed_write(spark, tmp_path, monkeypatch, fail_on):
+    packets = packets_from_events(read_table(spark, FOLDER, "events")).filter("packet_id < 300")
+    results = []
+    for name, broken in (("calm", False), ("broken", True)):
+        house = Warehouse(spark, str(tmp_path / name))
+        batch.ingest(house, as_text(packets.filter("packet_id < 150")), 1, "feed", "events")
+        batch.ingest(house, as_text(packets.filter("packet_id >= 150")), 2, "feed", "events")
+        if broken:
+            writes = []
+
+            def fails(self, table, *rest, kind, **named):
+                if table == fail_on:
+                    writes.append(table)
+                    if table == "sessions" or len(writes) == 2:
+                        raise OSError("no space")
+                return kind(self, table, *rest, **named)
+
+            with monkeypatch.context() as patch:
+                for method in ("write_run", "replace"):
+                    kind = getattr(Warehouse, method)
+                    patch.setattr(Warehouse, method, lambda *a, kind=kind, **k: fails(*a, kind=kind, **k))
+                with pytest.raises(OSError):
+                    batch.sessionize(house)
+        batch.sessionize(house)
+        assert batch.sessionize(house) == 0
+        sessions = house.read("sessions").drop("created_at", "updated_at")
+        links = batch.linked_packets(house).select("packet_id", "session_id")
+        results.append([sorted(map(str, df.collect())) for df in (sessions, links)])
+    assert results[0] == results[1]
+
+
+def test_a_half_written_run_does_not_count(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path / "house"))
+    house.write_run("links", spark.range(3), 7)
+    (tmp_path / "house" / "links" / "run_id=8").mkdir()
+    assert house.run_ids("links") == [7]
+
+
 def test_strict_run_leaves_nothing(spark, tmp_path):
     house = Warehouse(spark, str(tmp_path / "house"))
     bad = spark.createDataFrame(

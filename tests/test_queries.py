@@ -50,16 +50,22 @@ def test_alert_status_changes(spark):
         "alert_id long, status string, acknowledged_at timestamp",
     )
     updates = spark.createDataFrame(
-        [(1, "acknowledged"), (2, "resolved"), (4, "open")], "alert_id long, status string"
+        [(1, "acknowledged"), (2, "resolved"), (4, "open"), (4, None), (3, "closed")],
+        "alert_id long, status string",
     )
     out = {r.alert_id: r for r in A.update_alert_status(alerts, updates, now()).collect()}
     assert (out[1].status, out[1].acknowledged_at) == ("acknowledged", datetime.datetime(2026, 5, 1))
     assert (out[2].status, out[2].acknowledged_at) == ("resolved", early)
     assert (out[3].status, out[3].acknowledged_at) == ("open", None)
     assert (out[4].status, out[4].acknowledged_at) == ("open", early)
-    wrong = spark.createDataFrame([(1, "closed")], "alert_id long, status string")
-    with pytest.raises(Exception, match="unknown alert status"):
-        A.update_alert_status(alerts, wrong, now()).collect()
+    assert {r.alert_id for r in A.refused_updates(updates).collect()} == {3, 4}
+    twice = spark.createDataFrame(
+        [(1, "resolved", 1), (1, "acknowledged", 2)], "alert_id long, status string, at int"
+    )
+    late = A.update_alert_status(alerts, twice, now(), "at").collect()
+    assert len(late) == 4 and {r.status for r in late if r.alert_id == 1} == {"acknowledged"}
+    furthest = A.update_alert_status(alerts, twice, now()).filter("alert_id = 1").collect()
+    assert [r.status for r in furthest] == ["resolved"]
 
 
 @pytest.mark.parametrize("limit, offset", [(0, 0), (1001, 0), (10, -1)])

@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 DIGEST_PREFIX = 4  # hex digits, so at most 65,536 slices per key
 
-# Exact quantiles: accuracy of the sketch that brackets a rank, and the row
-# count below which the whole column is the bracket.
+# Exact quantiles: accuracy of the sketch that brackets a rank, and how far the
+# bracket reaches on both sides, ten times what the sketch may be off.
 SKETCH_ACCURACY = 100_000
 BRACKET_MARGIN = 1e-4
-SMALL_COLUMN = 200_000
 
 
 def slice_window(keys: Sequence[str], slice_col: str) -> W:
@@ -89,10 +88,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per ``key``.
 
-    A quantile sketch brackets each wanted rank. Rows below the bracket are
-    only counted; the distinct values inside it (about 0.02 % of a large
-    column) are ranked. Output: ``key, probability, quantile``. ``key`` must
-    have few values (feature names): its bracket rows are broadcast.
+    A quantile sketch brackets each wanted rank. The distinct values inside
+    the bracket (about 0.02 % of a large column) are ranked; of the rows below
+    and above, only the count and the nearest value are kept. The sketch names
+    the value at rank ``p * n`` and interpolation starts from ``p * (n - 1)``,
+    so in a column of few rows the wanted ranks may be those nearest values.
+    Output: ``key, probability, quantile``. ``key`` must have few values
+    (feature names): its bracket rows are broadcast.
     """
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     low_p = [max(p - BRACKET_MARGIN, 0.0) for p in probabilities]
@@ -101,18 +103,13 @@ def exact_quantiles(
     present = long_form.select(key, value).filter(F.col(value).isNotNull())
     stats = present.groupBy(key).agg(
         F.count("*").alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
         F.percentile_approx(value, low_p + high_p, SKETCH_ACCURACY).alias("_ends"),
     )
-    small = F.col("_n") <= SMALL_COLUMN
     brackets = stats.select(
         key,
         "_n",
-        F.when(small, F.transform(wanted, lambda _: F.col("_min")))
-        .otherwise(F.slice("_ends", 1, half)).alias("_low"),
-        F.when(small, F.transform(wanted, lambda _: F.col("_max")))
-        .otherwise(F.slice("_ends", half + 1, half)).alias("_high"),
+        F.slice("_ends", 1, half).alias("_low"),
+        F.slice("_ends", half + 1, half).alias("_high"),
     ).select(
         key,
         "_n",
@@ -126,19 +123,27 @@ def exact_quantiles(
         F.col("_b._high").alias("_high"),
         ((F.col("_n") - 1) * F.col("_b.p")).alias("_rank"),
     )
-    # Values below a bracket collapse to one counter per key and probability.
-    inside = F.when(F.col(value) >= F.col("_low"), F.col(value))
+    # Values on one side of a bracket collapse to one row per key and probability.
+    side = F.when(F.col(value) < F.col("_low"), -1).when(F.col(value) > F.col("_high"), 1).otherwise(0)
     counts = (
         present.join(F.broadcast(brackets), key)
-        .filter(F.col(value) <= F.col("_high"))
-        .groupBy(key, "probability", "_rank", inside.alias("_value"))
-        .agg(F.count("*").alias("_count"))
+        .withColumn("_side", side)
+        .groupBy(
+            key, "probability", "_rank", "_side",
+            F.when(F.col("_side") == 0, F.col(value)).alias("_inside"),
+        )
+        .agg(
+            F.count("*").alias("_count"),
+            F.min(value).alias("_least"),
+            F.max(value).alias("_largest"),
+        )
+        .withColumn("_value", F.when(F.col("_side") < 0, F.col("_largest")).otherwise(F.col("_least")))
     )
     ranked = counts.withColumn(
         "_upto",
         F.sum("_count").over(
             W.partitionBy(key, "probability")
-            .orderBy(F.col("_value").asc_nulls_first())
+            .orderBy("_side", "_value")
             .rowsBetween(W.unboundedPreceding, W.currentRow)
         ),
     )

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,18 +24,13 @@ def test_at_most_keeps_the_lowest_digests(spark):
     assert {r.id for r in every.collect()} == {r.id for r in some.collect()}
 
 
-@pytest.mark.parametrize("small_column", [0, 10**9])
-@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 8, 5000])
-def test_exact_quantiles(spark, monkeypatch, small_column, size):
-    if size < 5000 and small_column == 0:
-        pytest.skip("brackets need a column larger than their margin")
-    monkeypatch.setattr(O, "SMALL_COLUMN", small_column)
-    if small_column == 0:
-        monkeypatch.setattr(O, "BRACKET_MARGIN", 0.01)
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 8, 5000, 200_000, 200_001, 400_000])
+def test_exact_quantiles(spark, size):
     rng = np.random.default_rng(size)
-    values = np.round(rng.normal(size=size), 2)
+    values = np.round(rng.normal(size=size), 2 if size <= 5000 else 9)
     values[: size // 3] = 0.0  # a third of all values is the same
-    df = spark.createDataFrame([("a", float(v)) for v in values], "k string, v double")
+    frame = pd.DataFrame({"k": "a", "v": values})
+    df = spark.createDataFrame(frame, "k string, v double").repartition(8)
     probabilities = [0.05, 0.25, 0.5, 0.75]
     got = {
         r.probability: r.quantile

@@ -24,7 +24,6 @@ from packetlake.functions.ordered import carry_slices, hashed_row_number, slice_
 
 IDLE_SECONDS = 60.0
 SLICE_SECONDS = 10.0
-HUGE_SESSION = 1_000_000
 
 FLOW_KEY = ["low_ip", "high_ip", "low_port", "high_port", "flow_protocol"]
 UNSESSIONIZED_COLS = [
@@ -276,25 +275,12 @@ def upsert_sessions(existing: DataFrame, new: DataFrame) -> DataFrame:
 def session_ids(assignments: DataFrame, sessions: DataFrame) -> DataFrame:
     """packet_id -> session_id.
 
-    A very large session would send all its packets to one task of the join.
-    Sessions of at least ``HUGE_SESSION`` packets number at most the packets
-    divided by it, so they are broadcast; their packets then go through the
-    join under keys of their own, which spread.
+    A session of very many packets makes one partition of the packets' side
+    large. The join keeps all packets and asks for no order afterwards, so
+    adaptive execution splits such a partition and repeats its sessions.
     """
-    ids = sessions.select("flow_hash", "session_id", "packet_count")
-    huge = F.broadcast(
-        ids.filter(F.col("packet_count") >= HUGE_SESSION)
-        .select("flow_hash", F.col("session_id").alias("_huge_id"))
-    )
-    marked = assignments.join(huge, "flow_hash", "left").withColumn(
-        "_key",
-        F.when(F.col("_huge_id").isNull(), F.col("flow_hash"))
-        .otherwise(F.col("packet_id").cast("string")),
-    )
-    others = ids.select(F.col("flow_hash").alias("_key"), F.col("session_id").alias("_id"))
-    return marked.join(others, "_key", "left").select(
-        "packet_id", F.coalesce("_huge_id", "_id").alias("session_id")
-    )
+    ids = sessions.select("flow_hash", "session_id")
+    return assignments.join(ids, "flow_hash", "left").select("packet_id", "session_id")
 
 
 def link_packets(

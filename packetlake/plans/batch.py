@@ -187,10 +187,23 @@ def linked_packets(house: Warehouse) -> DataFrame:
 
 
 def compute_features(house: Warehouse) -> DataFrame:
-    """Features of sessions that have none, added to the feature table."""
+    """Features of sessions that have none, added to the feature table. Only
+    runs that hold a packet of such a session are read."""
     features = house.read("session_features", FEATURES_SCHEMA)
     waiting = feature_ops.sessions_without_features(house.read("sessions"), features)
-    packets = linked_packets(house).join(waiting.select("session_id"), "session_id", "left_semi")
+    links = store_stage(
+        house.read_runs("links", LINKS_SCHEMA)
+        .select("packet_id", "run_id", "session_id")
+        .join(waiting.select("session_id"), "session_id", "left_semi"),
+        "waiting-links",
+    )
+    runs = [row.run_id for row in links.select("run_id").distinct().collect()]
+    packets = (
+        house.read_runs("packets", PACKET_TABLE_SCHEMA)
+        .filter(F.col("run_id").isin(runs))
+        .drop("session_id")
+        .join(links, ["packet_id", "run_id"])
+    )
     kept = [
         "session_id", "captured_at", "src_ip", "dst_port", "packet_size", "tcp_flags",
     ]

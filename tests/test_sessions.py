@@ -8,6 +8,7 @@ from helpers import packet, packets
 from packetlake import schemas
 from packetlake.functions.columns import FLOW_NAMESPACE, has_tcp_terminator, uuid5
 from packetlake.operators import sessions as S
+from packetlake.session import store_stage
 
 
 def keys(spark, *rows):
@@ -174,12 +175,41 @@ def test_upsert_adds_to_known_sessions(spark):
     assert (twice.session_id, twice.packet_count, twice.total_bytes) == (1, 4, 400)
 
 
-@pytest.mark.parametrize("huge", [1, 3, 10**6])
-def test_huge_sessions_link_like_others(spark, monkeypatch, huge):
-    monkeypatch.setattr(S, "HUGE_SESSION", huge)
+def test_sessions_of_any_size_link_alike(spark):
     rows = packets(spark, [packet(i, i) for i in range(5)] + [packet(9, 0, dst="10.0.0.7")])
     empty = spark.createDataFrame([], schemas.SESSIONS_SCHEMA)
     sessions = S.upsert_sessions(empty, S.build_sessions(rows))
     linked = S.session_ids(S.packet_assignments(S.assign_sessions(rows)), sessions)
     counts = linked.groupBy("session_id").count().join(sessions, "session_id").collect()
     assert sorted((r["count"], r.packet_count) for r in counts) == [(1, 1), (5, 5)]
+
+
+def test_packets_of_a_hot_session_are_split(spark):
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000)
+    rows = spark.range(0, 300_000, 1, 8).select(
+        F.col("id").alias("packet_id"), F.md5(hot.cast("string")).alias("flow_hash")
+    )
+    sessions = store_stage(
+        rows.select("flow_hash").distinct().withColumn("session_id", F.crc32("flow_hash")),
+        "sessions",
+    )
+    small = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        linked = S.session_ids(rows, sessions)
+        found = linked.collect()
+        plan = linked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "skew=true" in plan
+    assert len(found) == 300_000 and all(r.session_id is not None for r in found)

@@ -13,6 +13,8 @@ PACKET_EXPORT = [
     "Protocol", "Size", "TCP Flags",
 ]
 
+EXPORT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def write_parquet(df: DataFrame, path: str, *partition_by: str, mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
@@ -33,9 +35,9 @@ def write_staging(valid: DataFrame, rejected: DataFrame, run_id: int, path: str)
 
 
 def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Header and rows of the current selection."""
+    """Header and rows of the current selection, times to the microsecond."""
     out = df.select(*columns) if columns else df
-    out.write.option("header", True).csv(path)
+    out.write.option("header", True).option("timestampFormat", EXPORT_TIME).csv(path)
 
 
 def packets_export(packets: DataFrame) -> DataFrame:

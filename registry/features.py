@@ -114,17 +114,18 @@ def _(t):
     return X.with_empty_rows(t.sessions, t.features.limit(0))
 
 
-@query("upsert_features", with_tables("features sessions labeled", """
-SELECT session_id, CASE WHEN protocol = 'TCP' THEN total_packets ELSE 2 * total_packets END AS total_packets,
-  ground_truth_label_id, CASE WHEN protocol = 'TCP' THEN 1704067200000000 ELSE 1735689600000000 END AS computed_at
-FROM labeled JOIN sessions USING (session_id)"""))
+@query("upsert_features", with_tables("sessions labeled", f"""
+SELECT {FEATURE_OUT}, ground_truth_label_id, computed_at FROM (
+  SELECT l.* REPLACE (CASE WHEN protocol = 'TCP' THEN total_packets ELSE 2 * total_packets END AS total_packets),
+    CASE WHEN protocol = 'TCP' THEN 1704067200000000 ELSE 1735689600000000 END AS computed_at
+  FROM labeled l JOIN (SELECT session_id, protocol FROM sessions) s USING (session_id))"""))
 def _(t):
     old = t.labeled.withColumn("computed_at", F.lit("2024-01-01").cast("timestamp"))
     new = t.features.withColumn("total_packets", 2 * F.col("total_packets")).join(
         t.sessions.filter(F.col("protocol") != "TCP").select("session_id"), "session_id"
     )
     return X.upsert_features(old, new, F.lit("2025-01-01").cast("timestamp")).select(
-        "session_id", "total_packets", "ground_truth_label_id", "computed_at"
+        "session_id", *FEATURE_COLS, "ground_truth_label_id", "computed_at"
     )
 
 

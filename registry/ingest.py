@@ -82,12 +82,9 @@ def _(t):
     return C.error_breakdown(checked(t))
 
 
-@query("stage_rows", with_tables("cleaned", """
-SELECT CAST(7 AS BIGINT) AS run_id, is_valid, count(*) AS rows FROM cleaned GROUP BY is_valid"""))
+@query("stage_rows", with_tables("cleaned", f"SELECT CAST(7 AS BIGINT) AS run_id, {CLEAN_OUT} FROM cleaned"))
 def _(t):
-    return G.stage_rows(checked(t), 7).groupBy("run_id", "is_valid").agg(
-        F.count("*").alias("rows")
-    )
+    return G.stage_rows(checked(t), 7).drop("raw_record")
 
 
 @query("dedup_insert", with_tables("cleaned packets", f"""

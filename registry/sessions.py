@@ -80,7 +80,11 @@ def _(t):
     return linked.select("packet_id", "session_id")
 
 
-@query("sessionize_increment", with_tables("sessions", f"SELECT session_id, {SESSION_OUT} FROM sessions"))
+@query("sessionize_increment", with_tables("sessions linked", f"""
+SELECT CAST(NULL AS BIGINT) AS packet_id, session_id, {SESSION_OUT} FROM sessions
+UNION ALL BY NAME SELECT packet_id, session_id FROM linked"""))
 def _(t):
-    sessions, _packets = S.sessionize_increment(t.unlinked_packets(), t.no_sessions())
-    return sessions
+    sessions, packets = S.sessionize_increment(t.unlinked_packets(), t.no_sessions())
+    return sessions.unionByName(
+        packets.select("packet_id", "session_id"), allowMissingColumns=True
+    )

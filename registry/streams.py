@@ -91,14 +91,14 @@ def _(t):
 
 @query("online_features", with_tables("iat ent features sessions", """
 SELECT flow_hash, f.total_packets, f.total_bytes, round(duration_sec, 6) AS duration_sec,
-  round(bytes_per_sec, 6) AS bytes_per_sec, round(iat_mean, 6) AS iat_mean, round(iat_std, 6) AS iat_std,
+  round(bytes_per_sec, 6) AS bytes_per_sec, round(packets_per_sec, 6) AS packets_per_sec, round(iat_mean, 6) AS iat_mean, round(iat_std, 6) AS iat_std,
   round(iat_min, 6) AS iat_min, round(iat_max, 6) AS iat_max, round(fwd_bwd_byte_ratio, 6) AS fwd_bwd_byte_ratio,
   round(payload_entropy, 6) AS payload_entropy, unique_dst_ports, round(avg_packet_size, 6) AS avg_packet_size,
   round(packet_size_std, 6) AS packet_size_std, has_syn, has_fin, has_rst
 FROM features f JOIN sessions USING (session_id)"""))
 def _(t):
     closed = drain(t, XS.online_sessions(replay(t), idle_seconds=60), "closed60")
-    return XS.closed_features(closed).drop("packets_per_sec")
+    return XS.closed_features(closed)
 
 
 @query("gap_sessions", with_tables("keyed", """

@@ -67,7 +67,8 @@ def _(t):
 
 @query("alert_detail", with_tables("alerts sessions predictions attack_labels", """
 SELECT a.alert_id, a.session_id, a.prediction_id, a.alert_type, a.severity, a.status, a.rule_name, a.description,
-  epoch_us(a.triggered_at) AS triggered_at, epoch_us(a.acknowledged_at) AS acknowledged_at, s.src_ip, s.dst_port, s.protocol,
+  epoch_us(a.triggered_at) AS triggered_at, epoch_us(a.acknowledged_at) AS acknowledged_at, s.src_ip, s.dst_ip,
+  s.src_port, s.dst_port, s.protocol,
   CAST(p.confidence AS DOUBLE) AS confidence, p.model_version, label_code AS predicted_label
 FROM alerts a LEFT JOIN sessions s ON s.session_id = a.session_id
 LEFT JOIN predictions p ON p.prediction_id = a.prediction_id LEFT JOIN attack_labels ON label_id = predicted_label_id"""))
@@ -75,7 +76,7 @@ def _(t):
     detail = Ls.alert_detail(t.alerts, t.sessions, t.predictions, t.labels)
     return detail.select(
         *[c for c in detail.columns if not c.endswith("_details")],
-        "session_details.src_ip", "session_details.dst_port", "session_details.protocol",
+        "session_details.*",
         "prediction_details.confidence", "prediction_details.model_version",
         "prediction_details.predicted_label",
     )

@@ -5,8 +5,38 @@ from pyspark.sql import functions as F
 from packetlake.operators import training as T
 from packetlake.schemas import FEATURE_COLS, FLAG_FEATURES
 from registry.base import FEATURE_LIST, query, with_tables
+from registry.features import FEATURE_OUT
 
 FLOW_OUT = ", ".join(f"round({c}, 6) AS {c}" for c in FEATURE_COLS)
+FLOW_TEXT_SQL = """SELECT row_key, is_header,
+  CASE WHEN is_header THEN 'Flow Duration' ELSE CAST(price * 100 AS VARCHAR) END AS duration_sec,
+  CASE WHEN is_header THEN 'TotLen Fwd Pkts' ELSE CAST(qty * 40 AS VARCHAR) END AS fwd_bytes,
+  CASE WHEN is_header THEN 'TotLen Bwd Pkts' ELSE CAST(CASE WHEN qty % 5 = 0 THEN 0 ELSE qty * 7 END AS VARCHAR) END AS bwd_bytes,
+  CASE WHEN is_header THEN 'Tot Fwd Pkts' ELSE CAST(qty AS VARCHAR) END AS fwd_pkts,
+  CASE WHEN is_header THEN 'Tot Bwd Pkts' ELSE CAST(qty % 9 AS VARCHAR) END AS bwd_pkts,
+  CASE qty WHEN 13 THEN 'Infinity' WHEN 17 THEN 'NaN' ELSE CAST(price % 1000 AS VARCHAR) END AS bytes_per_sec,
+  CASE qty WHEN 19 THEN '-Infinity' ELSE CAST(price % 100 AS VARCHAR) END AS packets_per_sec,
+  CASE WHEN is_header THEN 'Flow IAT Mean' ELSE CAST(price % 11 AS VARCHAR) END AS iat_mean,
+  CASE WHEN is_header THEN 'Flow IAT Std' ELSE CAST(price % 13 AS VARCHAR) END AS iat_std,
+  CASE WHEN is_header THEN 'Flow IAT Min' ELSE CAST(price % 3 AS VARCHAR) END AS iat_min,
+  CASE WHEN is_header THEN 'Flow IAT Max' ELSE CAST(price % 17 AS VARCHAR) END AS iat_max,
+  CASE WHEN is_header THEN 'Pkt Size Avg' ELSE CAST(qty * 2 AS VARCHAR) END AS avg_packet_size,
+  CASE WHEN is_header THEN 'Pkt Len Std' ELSE CAST(qty % 4 AS VARCHAR) END AS packet_size_std,
+  CASE WHEN is_header THEN 'SYN Flag Cnt' ELSE CAST(qty % 2 AS VARCHAR) END AS has_syn,
+  CASE WHEN is_header THEN 'FIN Flag Cnt' ELSE CAST(price % 2 AS VARCHAR) END AS has_fin,
+  CASE WHEN is_header THEN 'RST Flag Cnt' ELSE CAST((qty + price) % 2 AS VARCHAR) END AS has_rst,
+  CASE WHEN is_header THEN 'Dst Port' ELSE CAST(port AS VARCHAR) END AS unique_dst_ports,
+  CASE WHEN is_header THEN 'Label' ELSE label END AS label_code
+FROM flow_text"""
+# The same as numbers; NaN is shown as -1.
+FLOW_NUMBERS_SQL = "SELECT row_key, label_code, " + ", ".join(
+    f"CASE WHEN {c} = 'NaN' THEN -1 ELSE try_cast({c} AS DOUBLE) END AS {c}"
+    for c in T.FLOW_COLUMNS.values() if c != "label_code"
+) + f" FROM ({FLOW_TEXT_SQL}) WHERE NOT is_header"
+FLOW_DERIVED_SQL = f"""SELECT * REPLACE (duration_sec / 1e6 AS duration_sec), fwd_bytes + bwd_bytes AS total_bytes,
+  fwd_pkts + bwd_pkts AS total_packets,
+  round(fwd_bytes / CASE WHEN bwd_bytes = 0 THEN 1 ELSE bwd_bytes END, 6) AS fwd_bwd_byte_ratio,
+  0.0::DOUBLE AS payload_entropy FROM ({FLOW_NUMBERS_SQL})"""
 SPLIT_SQL = """SELECT session_id, label_code, CASE WHEN 100 * rn <= 70 * n THEN 'train' WHEN 100 * rn <= 85 * n
     THEN 'val' ELSE 'test' END AS split
   FROM (SELECT session_id, label_code, count(*) OVER (PARTITION BY label_code) AS n,
@@ -29,16 +59,21 @@ def train_rows(t):
     return T.flags_to_int(rows.filter(F.col("split") == "train"))
 
 
-@query("flow_columns", with_tables("flow_text", """
-SELECT row_key, CASE WHEN is_header THEN 'Flow Duration' ELSE CAST(price * 100 AS VARCHAR) END AS duration_sec,
-  CASE WHEN is_header THEN 'Dst Port' ELSE CAST(port AS VARCHAR) END AS unique_dst_ports,
-  CASE WHEN is_header THEN 'Label' ELSE label END AS label_code FROM flow_text"""))
-def _(t):
-    return T.flow_columns(t.flow_records, "row_key").select(
-        "row_key", "duration_sec", "unique_dst_ports", "label_code"
+def numbers(t):
+    return T.coerce_numbers(T.flow_columns(t.flow_records, "row_key"))
+
+
+def nan_shown(flows):
+    return flows.withColumn(
+        "bytes_per_sec", F.when(F.isnan("bytes_per_sec"), -1.0).otherwise(F.col("bytes_per_sec"))
     )
 
 
+@query("flow_columns", with_tables("flow_text", f"SELECT * EXCLUDE (is_header) FROM ({FLOW_TEXT_SQL})"))
+def _(t):
+    return T.flow_columns(t.flow_records, "row_key")
+
+
 @query("sample_per_file", with_tables("flow_text", """
 SELECT row_key, source_file FROM flow_text
 QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY md5(row_key)) <=
@@ -49,34 +84,21 @@ def _(t):
     ).select("row_key", "source_file")
 
 
-@query("coerce_numbers", with_tables("flow_text", """
-SELECT row_key, CAST(price * 100 AS DOUBLE) AS duration_sec, CAST(qty AS DOUBLE) AS fwd_pkts,
-  CAST(port AS DOUBLE) AS unique_dst_ports FROM flow_text WHERE NOT is_header"""))
+@query("coerce_numbers", with_tables("flow_text", FLOW_NUMBERS_SQL))
 def _(t):
-    return T.coerce_numbers(T.flow_columns(t.flow_records, "row_key")).select(
-        "row_key", "duration_sec", "fwd_pkts", "unique_dst_ports"
-    )
+    return nan_shown(numbers(t))
 
 
-@query("derive_flow_features", with_tables("flow_text", """
-SELECT row_key, round(price * 100 / 1e6, 6) AS duration_sec, CAST(qty * 40 + bwd AS DOUBLE) AS total_bytes,
-  CAST(qty + qty % 9 AS DOUBLE) AS total_packets,
-  round(CAST(qty * 40 AS DOUBLE) / CASE WHEN bwd = 0 THEN 1 ELSE bwd END, 6) AS fwd_bwd_byte_ratio,
-  0.0::DOUBLE AS payload_entropy
-FROM (SELECT *, CASE WHEN qty % 5 = 0 THEN 0 ELSE qty * 7 END AS bwd FROM flow_text) WHERE NOT is_header"""))
+@query("derive_flow_features", with_tables("flow_text", FLOW_DERIVED_SQL))
 def _(t):
-    flows = T.coerce_numbers(T.flow_columns(t.flow_records, "row_key"))
-    return T.derive_flow_features(flows).select(
-        "row_key", "duration_sec", "total_bytes", "total_packets", "fwd_bwd_byte_ratio",
-        "payload_entropy",
-    )
+    return nan_shown(T.derive_flow_features(numbers(t)))
 
 
-@query("drop_unusable", with_tables("flow_text", """
-SELECT row_key FROM flow_text WHERE NOT is_header AND qty NOT IN (13, 17, 19)"""))
+@query("drop_unusable", with_tables("flow_text", f"""
+SELECT * FROM ({FLOW_NUMBERS_SQL})
+WHERE bytes_per_sec <> -1 AND isfinite(bytes_per_sec) AND isfinite(packets_per_sec)"""))
 def _(t):
-    flows = T.coerce_numbers(T.flow_columns(t.flow_records, "row_key"))
-    return T.drop_unusable(flows).select("row_key")
+    return T.drop_unusable(numbers(t))
 
 
 @query("process_flows", with_tables("flows", f"SELECT row_key, {FLOW_OUT}, label_code FROM flows"))
@@ -84,15 +106,6 @@ def _(t):
     return T.process_flows(t.flow_records, "row_key")
 
 
-@query("union_flow_files", with_tables("flows", """
-SELECT source_file, label_code, count(*) AS rows, round(sum(total_bytes), 6) AS total_bytes
-FROM flows GROUP BY source_file, label_code"""))
-def _(t):
-    return T.process_flows(t.flow_records, "source_file").groupBy(
-        "source_file", "label_code"
-    ).agg(F.count("*").alias("rows"), F.sum("total_bytes").alias("total_bytes"))
-
-
 @query("drop_rare_classes", """
 SELECT label_code, count(*) AS rows FROM (
   SELECT 'C' || CAST(floor(l_extendedprice / 15) AS BIGINT) AS label_code FROM lineitem)
@@ -104,13 +117,10 @@ def _(t):
     return T.drop_rare_classes(rows).groupBy("label_code").agg(F.count("*").alias("rows"))
 
 
-@query("export_labeled", with_tables("labeled attack_labels", """
-SELECT session_id, total_bytes, round(payload_entropy, 6) AS payload_entropy, label_code
-FROM labeled JOIN attack_labels ON label_id = ground_truth_label_id"""))
+@query("export_labeled", with_tables("labeled attack_labels", f"""
+SELECT {FEATURE_OUT}, label_code FROM labeled JOIN attack_labels ON label_id = ground_truth_label_id"""))
 def _(t):
-    return T.training_export(t.labeled, t.labels).select(
-        "session_id", "total_bytes", "payload_entropy", "label_code"
-    )
+    return T.training_export(t.labeled, t.labels).select("session_id", *FEATURE_COLS, "label_code")
 
 
 @query("fallback_labels", with_tables("features", """

@@ -1,5 +1,7 @@
 """Every registered query with a SQL text gives DuckDB's result."""
 
+import re
+
 import pytest
 
 from oracle_check import compare, duck
@@ -27,4 +29,7 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert __spark_entry__.queries().keys() == catalog.QUERIES.keys()
+    registered = __spark_entry__.queries().keys()
+    assert catalog.QUERIES.keys() <= registered
+    # The optional training-data queries are all that may be added.
+    assert all(re.fullmatch(r"op\d+_\w+|pipeline", n) for n in registered - catalog.QUERIES.keys())

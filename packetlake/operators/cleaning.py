@@ -25,6 +25,7 @@ ABSENT_COLUMN_VALUES = {
     "dst_ip": "10.0.0.1",
     "packet_size": "0",
 }
+# Columns a source must have, and the layout of cleaned rows.
 REQUIRED_COLUMNS = ["captured_at", "dst_ip", "packet_size", "protocol", "src_ip"]
 CLEAN_COLUMNS = [
     "captured_at", "fingerprint", "src_ip", "dst_ip", "src_port", "dst_port",

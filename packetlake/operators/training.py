@@ -37,7 +37,6 @@ FLOW_COLUMNS = {
 }
 # Rows sampled per flow file.
 SAMPLE_ROWS = 50_000
-SAMPLE_OVERRIDES = {"02-20-2018.csv": 100_000}
 MIN_CLASS_ROWS = 10
 SPLIT_SEED = 42
 FALLBACK_ENTROPY = 0.8
@@ -55,8 +54,9 @@ def sample_per_file(
     rows: int = SAMPLE_ROWS, overrides: dict[str, int] | None = None,
 ) -> DataFrame:
     """Exactly ``rows`` rows of each larger file, chosen by a digest, so the
-    choice repeats; smaller files are kept whole."""
-    overrides = SAMPLE_OVERRIDES if overrides is None else overrides
+    choice repeats; smaller files are kept whole. ``overrides`` gives other
+    numbers of rows for file names that end so."""
+    overrides = overrides or {}
     most = max([rows, *overrides.values()])
     numbered = hashed_row_number(records, [file_col], row_digest, "_rank", at_most=most)
     limit = F.lit(rows)

@@ -14,7 +14,7 @@ from brute import DOCS, base_spans, components, documents, fingerprint, measures
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from packetlake.llm import bpe, html, language, licenses, packing, pii, quality, sharding, simhash, topk
+from packetlake.llm import bpe, html, language, licenses, packing, pii, quality, sharding, simhash, similar, topk
 from packetlake.llm.common import connected_components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -308,6 +308,44 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(documents(spark, []), simhash.near_duplicates(documents(spark, []))).count() == 0
 
 
+def jaccard(one, other):
+    one, other = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (one.split(), other.split()))
+    return len(one & other) / len(one | other)
+
+
+def test_edited_copies_are_near_copies(spark):
+    draw = random.Random(8)
+    rows, links, near = [], [], 0
+    for k in range(150):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(60, 400))]
+        copy = list(words)
+        for at in draw.sample(range(len(words)), max(1, len(words) // draw.randint(30, 90))):
+            copy[at] = "edited"
+        one, other = " ".join(words), " ".join(copy)
+        rows += [(2 * k, one, "en", "s", 0), (2 * k + 1, other, "en", "s", 0)]
+        links.append(jaccard(one, other) >= 0.8)
+        near += 0.8 <= jaccard(one, other) < 0.95
+    docs = documents(spark, rows)
+    got = dict(rows_of(similar.near_copies(docs)))
+    assert [got[2 * k + 1] == 2 * k for k in range(150)] == links
+    assert all(got[2 * k] == 2 * k for k in range(150)) and near > 40 and not all(links)
+    import corpus_pipeline
+
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 300 - sum(links)
+
+
+def test_near_copies_of_awkward_rows_and_chains(spark):
+    got = Counter(rows_of(similar.near_copies(documents(spark))))
+    assert got == Counter([
+        (1, 1), (6, 1), (6, 1), (2, 2), (3, 2), (4, 2), (5, 5), (None, None), (8, 8), (9, 9), (10, 10),
+    ])
+    assert rows_of(similar.near_copies(documents(spark, []))) == []
+    # A chain whose ends are not alike is one component, a null id in it too.
+    base = [f"w{i}" for i in range(400)]
+    rows = [(k or None, " ".join(base[12 * k:12 * k + 300]), "en", "s", 0) for k in range(8)]
+    assert set(rows_of(similar.near_copies(documents(spark, rows)))) == {(k or None, 1) for k in range(8)}
+
+
 # --- 7 -----------------------------------------------------------------------
 
 

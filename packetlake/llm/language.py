@@ -85,8 +85,14 @@ def log_likelihoods(counts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -
     return np.hstack([table, np.full((BUCKETS, 1), -math.log(BUCKETS))])
 
 
+def key_columns(rows: DataFrame) -> list[str]:
+    """The columns that name a row of evidence."""
+    return [name for name in rows.columns if name not in ("text", "host", "declared")]
+
+
 def score_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, host, declared, n_trigrams, evidence array<double>)."""
+    """(keys, host, declared, n_trigrams, evidence array<double>)."""
+    names = [*key_columns(rows), "host", "declared"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,14 +105,15 @@ def score_texts(rows: DataFrame, table: np.ndarray) -> DataFrame:
                 sizes.append(len(found))
                 scores.append(total * SHARE)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in ("doc_id", "host", "declared")),
+                [*(batch.column(name) for name in names),
                  pa.array(sizes, pa.int64()), pa.array(scores, pa.list_(pa.float64()))],
-                ["doc_id", "host", "declared", "n_trigrams", "evidence"],
+                [*names, "n_trigrams", "evidence"],
             )
 
-    return rows.select("doc_id", "host", "declared", "text").mapInArrow(
-        run,
-        "doc_id bigint, host string, declared string, n_trigrams bigint, evidence array<double>",
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{name} {kinds[name]}" for name in names)
+    return rows.select(*names, "text").mapInArrow(
+        run, f"{schema}, n_trigrams bigint, evidence array<double>"
     )
 
 
@@ -123,11 +130,15 @@ def evidence_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+# What of a page is not its text.
+MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)\b[^>]*+>.*?(?:</\1\s*>|\z)|<[^>]*+>"
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """Pages as evidence: host of the address, language of the html element."""
     return pages.select(
         F.col("page_id").cast("bigint").alias("doc_id"),
-        F.regexp_replace("html", r"<[^>]*+>", " ").alias("text"),
+        F.regexp_replace("html", MARKUP, " ").alias("text"),
         F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-z]+://([^/:?#]+)", 1)).alias("host"),
         F.nullif(
             F.lower(F.regexp_extract(
@@ -137,6 +148,15 @@ def page_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def all_rows(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Documents and pages as evidence in one table; each has its own id, the
+    other one is null."""
+    no_id = F.lit(None).cast("bigint")
+    return evidence_rows(docs).withColumn("page_id", no_id).unionByName(
+        page_rows(pages).withColumn("page_id", F.col("doc_id")).withColumn("doc_id", no_id)
+    )
+
+
 def _shares(counts: list[Column], prior: list[Column]) -> list[Column]:
     """Counts smoothed towards a prior."""
     total = sum(counts[1:], counts[0])
@@ -144,8 +164,8 @@ def _shares(counts: list[Column], prior: list[Column]) -> list[Column]:
 
 
 def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """(doc_id, language, posterior, text_language, declared, kept) for every
-    row of ``rows`` (doc_id, text, host, declared).
+    """(keys, language, posterior, text_language, declared, kept) for every row
+    of ``rows`` (keys, text, host, declared); all other columns are keys.
 
     ``kept`` is false where no language reaches LEAST_POSTERIOR or "no language"
     wins; ``language`` is then ``und``. A null or blank text has no language. A
@@ -190,8 +210,9 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
             known, F.when(F.col("declared") == name, DECLARED_TRUST).otherwise(trust)
         ).otherwise(1.0)
         points.append(F.get("evidence", F.lit(k)) + F.log(prior[k]) + F.log(declared))
+    keys = key_columns(rows)
     fused = joined.select(
-        "doc_id", "declared", "n_trigrams", "best", F.array(*points).alias("points")
+        *keys, "declared", "n_trigrams", "best", F.array(*points).alias("points")
     ).withColumn("top", F.array_max("points")).withColumn(
         "at", F.array_position("points", F.col("top")).cast("int")
     ).withColumn(
@@ -203,7 +224,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
     )
     labels = F.array(*map(F.lit, classes))
     return fused.select(
-        "doc_id", F.when(kept, F.element_at(labels, F.col("at"))).otherwise(UNDETERMINED).alias("language"),
+        *keys, F.when(kept, F.element_at(labels, F.col("at"))).otherwise(UNDETERMINED).alias("language"),
         "posterior", F.element_at(labels, F.col("best") + 1).alias("text_language"), "declared",
         kept.alias("kept"),
     )

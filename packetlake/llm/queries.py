@@ -35,7 +35,8 @@ def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    return language.identify(language.evidence_rows(read_table(spark, folder, "documents")))
+    docs, pages = read_table(spark, folder, "documents"), read_table(spark, folder, "pages")
+    return language.identify(language.all_rows(docs, pages))
 
 
 @query

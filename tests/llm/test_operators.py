@@ -110,6 +110,48 @@ def test_pages_as_evidence(spark):
     assert [r[0] for r in page.select(language.suffix_of(F.lit("a.b.DE"))).collect()] == ["de", "de"]
 
 
+def test_markup_suffix_and_host_disagree(spark):
+    # The probe "in" is as frequent in both.
+    texts = {"en": "the house in the dog with the man " * 9, "de": "das haus in der hund mit dem mann " * 9}
+
+    def page(k, host, lang, text):
+        mark = f' lang="{lang}"' if lang else ""
+        return (k, f"https://{host}/p?q", f"<html{mark}><script>the dog and the man</script><p>{text}</p></html>")
+
+    rows = [page(k, f"w{k}.de", "de", texts["de"]) for k in range(100)]
+    rows += [page(100 + k, f"w{k}.com", "en", texts["en"]) for k in range(100)]
+    rows += [page(200 + k, "own.de", "en", texts["en"]) for k in range(40)]
+    rows += [
+        page(300, "new.de", None, "in"), page(301, "new.com", None, "in"),  # the suffix alone
+        page(302, "own.de", None, "in"),  # the host against its suffix
+        page(303, "other.com", "de", "in"),  # markup against the suffix
+        page(304, "w1.de", "de", texts["en"]),  # text against markup, host and suffix
+        (305, None, None), (None, "https://own.de/", f"<html lang=de>{texts['de']}"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    docs = documents(spark, [(300, texts["de"], "de", "s", 0)])
+    out = language.identify(language.all_rows(docs, pages), ("de", "en")).collect()
+    assert len(out) == len(rows) + 1
+    got = {r["page_id"]: r for r in out if r["doc_id"] is None}
+    assert [got[k]["language"] for k in (300, 301, 302, 304, None)] == ["de", "en", "en", "en", "de"]
+    assert got[303]["declared"] == "de" and got[303]["posterior"] < got[301]["posterior"]
+    assert not got[305]["kept"] and got[305]["language"] == "und"
+    assert [r["language"] for r in out if r["doc_id"] == 300] == ["de"]
+
+
+def test_the_query_reads_pages_and_documents(spark):
+    from packetlake.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    out = QUERIES["op2_language_id"](spark, folder)
+    found = out.where("doc_id IS NULL").join(
+        spark.read.parquet(f"{folder}/pages.parquet").select("page_id", F.regexp_extract("html", 'lang="(..)', 1).alias("truth")),
+        "page_id",
+    )
+    assert found.count() == 50 and out.where("page_id IS NULL").count() == 200
+    assert found.where("language = truth").count() >= 48
+
+
 # --- 3 -----------------------------------------------------------------------
 
 

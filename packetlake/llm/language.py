@@ -11,6 +11,7 @@ itself. What reaches the driver is the trigram table, whose size is fixed.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,14 @@ from pyspark.sql import functions as F
 
 from packetlake.session import store_stage
 
-LANGUAGES = ("de", "en", "es", "fr")
 UNDETERMINED = "und"
+# Declared values that name no language.
+NO_LANGUAGE = ("und", "zxx", "mul", "mis")
+# Languages with a model: the most declared ones, and the rows that each needs.
+# The bound keeps the trigram table below 128 * BUCKETS; rows that declare a
+# rarer language are taken at their word.
+MOST_LANGUAGES = 128
+LEAST_DECLARED = 1
 BUCKETS = 1 << 15
 # Each byte is part of three trigrams, so their likelihoods count a third.
 SHARE = 1 / 3
@@ -48,17 +55,37 @@ def trigrams(text: str) -> np.ndarray:
     return ((joined * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def trigram_counts(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def named_language(declared: Column) -> Column:
+    """The declared language in lower case without its region, else null."""
+    name = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
+    return F.when((name != "") & ~name.isin(*NO_LANGUAGE), name)
+
+
+def declared_languages(
+    rows: DataFrame, most: int = MOST_LANGUAGES, least: int = LEAST_DECLARED
+) -> tuple[str, ...]:
+    """The languages that the most rows with a text declare, sorted by name."""
+    named = rows.where(F.col("text").rlike(r"\S")).groupBy(
+        named_language(F.col("declared")).alias("language")
+    )
+    counted = named.agg(F.count("*").alias("n")).where(f"language IS NOT NULL AND n >= {least}")
+    top = counted.orderBy(F.desc("n"), "language").limit(most).collect()
+    return tuple(sorted(row["language"] for row in top))
+
+
+def trigram_counts(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """(language, bucket, n) over all rows that declare one of the languages.
     Each task adds up a table of fixed size before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {language: np.zeros(BUCKETS, np.int64) for language in languages}
+        totals = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
         for batch in batches:
             for text, declared in zip(batch.column(0), batch.column(1), strict=True):
                 found = trigrams(text.as_py() or "")
                 totals[declared.as_py()] += np.bincount(found, minlength=BUCKETS)
         for k, language in enumerate(languages):
+            if language not in totals:
+                continue
             used = np.flatnonzero(totals[language])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)),
@@ -66,13 +93,14 @@ def trigram_counts(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> D
                 ["language", "bucket", "n"],
             )
 
-    counted = rows.where(F.col("declared").isin(*languages)).select("text", "declared").mapInArrow(
+    named = rows.select("text", named_language(F.col("declared")).alias("declared"))
+    counted = named.where(F.col("declared").isin(*languages)).mapInArrow(
         run, "language int, bucket int, n bigint"
     )
     return counted.groupBy("language", "bucket").agg(F.sum("n").alias("n"))
 
 
-def log_likelihoods(counts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
+def log_likelihoods(counts: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """Logarithms by bucket and class; the last class, for no language, gives
     each bucket the same probability. A language that no row declares is less
     likely than that throughout. At most languages * BUCKETS counts are
@@ -163,16 +191,19 @@ def _shares(counts: list[Column], prior: list[Column]) -> list[Column]:
     return [(n + STRENGTH * p) / (total + STRENGTH) for n, p in zip(counts, prior, strict=True)]
 
 
-def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """(keys, language, posterior, text_language, declared, kept) for every row
     of ``rows`` (keys, text, host, declared); all other columns are keys.
 
-    ``kept`` is false where no language reaches LEAST_POSTERIOR or "no language"
-    wins; ``language`` is then ``und``. A null or blank text has no language. A
-    declared value outside the languages, or null, is no evidence; a null host
-    is the empty one. Null ids and repeated rows stay; ties go to the language
-    listed first; an empty table gives no rows.
+    ``languages`` are those with a model, by default the declared ones. A row
+    that declares another language has that one. ``kept`` is false where no
+    language reaches LEAST_POSTERIOR or "no language" wins; ``language`` is then
+    ``und``. A null or blank text has no language. A declared value that names
+    no language, or null, is no evidence; a null host is the empty one. Null ids
+    and repeated rows stay; ties go to the language listed first; an empty table
+    gives no rows.
     """
+    languages = declared_languages(rows) if languages is None else languages
     classes = (*languages, UNDETERMINED)
     table = log_likelihoods(trigram_counts(rows, languages), languages)
     scored = store_stage(
@@ -202,12 +233,13 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
         ]
 
     prior = _shares(others(""), _shares(others("s"), everywhere))
-    known = F.col("declared").isin(*languages)
+    named = named_language(F.col("declared"))
+    known = F.coalesce(named.isin(*languages), F.lit(False))
     points = []
     for k, name in enumerate(classes):
-        trust = (1 - DECLARED_TRUST) / len(languages)
+        trust = (1 - DECLARED_TRUST) / max(1, len(languages))
         declared = F.when(
-            known, F.when(F.col("declared") == name, DECLARED_TRUST).otherwise(trust)
+            known, F.when(named == name, DECLARED_TRUST).otherwise(trust)
         ).otherwise(1.0)
         points.append(F.get("evidence", F.lit(k)) + F.log(prior[k]) + F.log(declared))
     keys = key_columns(rows)
@@ -219,12 +251,13 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
         "posterior",
         1 / F.aggregate("points", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))),
     )
-    kept = (F.col("n_trigrams") > 0) & (F.col("at") <= len(languages)) & (
-        F.col("posterior") >= LEAST_POSTERIOR
-    )
     labels = F.array(*map(F.lit, classes))
+    rare = named.isNotNull() & ~known
+    likely = (F.col("at") <= len(languages)) & (F.col("posterior") >= LEAST_POSTERIOR)
+    kept = (F.col("n_trigrams") > 0) & (rare | likely)
+    language = F.when(rare, named).otherwise(F.element_at(labels, F.col("at")))
     return fused.select(
-        *keys, F.when(kept, F.element_at(labels, F.col("at"))).otherwise(UNDETERMINED).alias("language"),
+        *keys, F.when(kept, language).otherwise(UNDETERMINED).alias("language"),
         "posterior", F.element_at(labels, F.col("best") + 1).alias("text_language"), "declared",
         kept.alias("kept"),
     )

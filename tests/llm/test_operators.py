@@ -139,6 +139,27 @@ def test_markup_suffix_and_host_disagree(spark):
     assert [r["language"] for r in out if r["doc_id"] == 300] == ["de"]
 
 
+def test_every_declared_language_is_kept(spark):
+    ru, zh = "дом и собака с человеком в лесу ", "房子和狗与人在森林里走路"
+    rows = [(k, ru * 5 + str(k), "ru-RU", "s", 0) for k in range(30)]
+    rows += [(100 + k, zh * 8 + str(k), "ZH", "s", 0) for k in range(30)]
+    rows += [(200 + k, "the house and the dog with the man " * 5, "en", "s", 0) for k in range(30)]
+    rows += [(300, ru * 6, None, "s", 0), (301, zh * 6, "", "s", 0), (302, "ไทย" * 30, "th", "s", 0),
+             (303, "ไทย" * 30, "und", "s", 0), (304, " ", "ja", "s", 0)]
+    docs = documents(spark, rows)
+    evidence = language.evidence_rows(docs)
+    assert language.declared_languages(evidence) == ("en", "ru", "th", "zh")
+    for languages in (None, language.declared_languages(evidence, 3), ("en", "ru", "zh")):
+        got = {r["doc_id"]: r["language"] for r in language.identify(evidence, languages).collect()}
+        assert [got[k] for k in (0, 100, 200, 300, 301, 302, 304)] == ["ru", "zh", "en", "ru", "zh", "th", "und"]
+    assert got[303] == "und"
+    assert language.declared_languages(evidence, least=2) == ("en", "ru", "zh")
+    kept = {r["doc_id"] for r in language.keep_identified(docs).collect()}
+    assert kept >= {k for k, *_ in rows if k < 303} and 304 not in kept
+    # No declared language at all: all texts are taken at their word.
+    assert [r["kept"] for r in language.identify(evidence.where("doc_id = 302"), ()).collect()] == [True]
+
+
 def test_the_query_reads_pages_and_documents(spark):
     from packetlake.llm.queries import QUERIES
 

@@ -27,10 +27,12 @@ WINDOW_LINES = 3
 SURGE_CHARS = 90
 
 # Element names by role.
-RAW_TEXT = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object")
+RAW_TEXT = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "object")
+# Of these, the ones that XML's short form closes.
+FOREIGN = ("svg",)
 DROPPED = frozenset((
     *RAW_TEXT, "head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "canvas",
-    "audio", "video", "label", "fieldset",
+    "audio", "video", "label", "fieldset", "annotation", "annotation-xml",
 ))
 VOID = frozenset((
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
@@ -39,6 +41,9 @@ INLINE = frozenset((
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
     "img", "ins", "kbd", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike",
     "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "acronym", "picture", "source", "area", "map",
+    "math", "menclose", "merror", "mfenced", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot",
+    "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr",
+    "munder", "munderover", "semantics", "annotation", "annotation-xml",
 ))
 # Elements that the next one of their name, or their parent's end, closes.
 OPEN_ENDED = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
@@ -50,6 +55,11 @@ FURNITURE_WORDS = frozenset((
     "recommended", "newsletter", "subscribe", "signup", "popup", "modal", "overlay", "widget", "toolbar",
     "pagination", "pager", "login", "search", "skip",
 ))
+# What a compound class of furniture ends in, such as ad-slot.
+BOX_WORDS = frozenset((
+    "area", "bar", "block", "body", "box", "button", "buttons", "card", "container", "icons", "inner", "item",
+    "items", "links", "list", "outer", "panel", "post", "posts", "slot", "thread", "unit", "wrap", "wrapper",
+))
 PAGE_HEADERS = frozenset(("header", "topbar"))
 FURNITURE_ROLES = frozenset((
     "navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar",
@@ -59,6 +69,7 @@ NEVER_FURNITURE = frozenset(("html", "body", "main", "article"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:" + "|".join(FOREIGN) + r")\b(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
     r"|<(?P<raw>" + "|".join(RAW_TEXT) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?][^>]*+>",
@@ -67,6 +78,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(
     r"(?<![^\s\"'/])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE
 )
+_NUMBERED = re.compile(r"(?:comment|reply|ad)[-_]?\d+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -77,6 +89,12 @@ class Line:
     inside: bool
 
 
+def _names_furniture(token: str) -> bool:
+    """A furniture word, or such words with names of boxes only."""
+    words = frozenset(re.split(r"[-_:]+", token)) - {""}
+    return bool(words & FURNITURE_WORDS) and words <= FURNITURE_WORDS | BOX_WORDS
+
+
 def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
     if name in DROPPED:
         return True
@@ -93,13 +111,20 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
             if value.strip() in FURNITURE_ROLES:
                 return True
             continue
+        if inside:
+            # An article's own headings and sections have such words in slugs.
+            if key == "class" and any(map(_names_furniture, value.split())):
+                return True
+            if key == "id" and _NUMBERED.fullmatch(value.strip()):
+                return True
+            continue
         for token in value.split():
             words = re.split(r"[-_:]+", token)
             if words[0] in NEUTRAL_STARTS:
                 continue
             if FURNITURE_WORDS.intersection(words):
                 return True
-            if not inside and PAGE_HEADERS.intersection(words):
+            if PAGE_HEADERS.intersection(words):
                 return True
     return False
 

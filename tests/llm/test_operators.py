@@ -301,6 +301,17 @@ def test_surge_and_dive_without_a_declared_article():
     assert html.text_spans([0, 10, 200, 0, 0, 0, 5, 0]) == [(1, 3)]
 
 
+def test_article_sections_with_furniture_words_stay():
+    page = ('<article><h2 id="related-work">Related work</h2><section id="search-and-rescue"><p>Rescue</p></section>'
+            '<p id="social-history">History</p><p class="comment-on-results">Results</p><p>Before <svg/>mid '
+            '<math/>after</p><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be<svg viewBox="0 0" /></p>'
+            '<svg><text>no</text></svg><p>End</p><div class="share-buttons">Share</div><div class="ad">Buy</div>'
+            '<div id="comment-7">nice</div><div role="search">Find</div></article>')
+    assert html.main_text(page).split("\n\n") == [
+        "Related work", "Rescue", "History", "Results", "Before mid after", "Let x=1 be", "End",
+    ]
+
+
 def test_awkward_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p"), (4, "u", "plain " * 40), (4, "u", "plain " * 40),
             (5, "u", "<article>" + "<p>x" * 20000), (6, "u", "<!-- open"), (7, "u", '<a href="' * 50)]

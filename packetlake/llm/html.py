@@ -3,12 +3,12 @@
 Markup is stripped in one pass: each block element ends a line, white space in
 a line becomes one blank. Lines inside elements that never hold main text
 (scripts, navigation, forms, page furniture, reader comments) are stripped with
-the markup. Each line that is left weighs its text outside links; where the page
-declares its article, lines outside weigh nothing and lines inside at least as
-much as a surge needs. The weights are summed over sliding windows of lines. A
-sum that reaches the threshold on a line with text is a surge point, the line
-after which it falls to zero, or below the threshold, a dive point; the text
-between them is kept.
+the markup. Each line that is left weighs its text outside links; a line of the
+article that a page declares weighs a surge more. The weights are summed over
+sliding windows of lines, within the article and outside it. A sum that reaches
+the threshold on a line with text is a surge point; the stretch around it ends
+where what lies ahead falls to nothing or to link text, and begins after such a
+line, so short lines at either end belong to it. All stretches are kept.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -223,33 +224,54 @@ def strip_markup(page: str) -> list[Line]:
 
 
 def line_weights(lines: list[Line]) -> list[int]:
-    declared = any(line.inside for line in lines)
-    if declared:
-        return [max(len(line.text), SURGE_CHARS) if line.inside else 0 for line in lines]
-    return [max(0, len(line.text) - line.linked) for line in lines]
-
-
-def text_spans(weights: list[int]) -> list[tuple[int, int]]:
-    """(surge, dive) line numbers, dive exclusive, of each stretch of text."""
-    sums = [sum(weights[i:i + WINDOW_LINES]) for i in range(len(weights))]
-    spans, start = [], None
-    for i, total in enumerate(sums):
-        if start is None:
-            if weights[i] and total >= SURGE_CHARS:
-                start = i
-        elif not weights[i] or (total < SURGE_CHARS and weights[i] < SURGE_CHARS // WINDOW_LINES):
-            spans.append((start, i))
-            start = None
-    if start is not None:
-        spans.append((start, len(sums)))
+    """Characters outside links; a line of the declared article weighs a surge
+    more, links included."""
+    return [
+        len(line.text) + SURGE_CHARS if line.inside else max(0, len(line.text) - line.linked)
+        for line in lines
+    ]
+
+
+def link_weights(lines: list[Line]) -> list[int]:
+    """Characters in links, where they count against the text."""
+    return [0 if line.inside else min(line.linked, len(line.text)) for line in lines]
+
+
+def text_spans(weights: list[int], linked: list[int] | None = None) -> list[tuple[int, int]]:
+    """(surge, dive) line numbers, dive exclusive, of each stretch of text.
+
+    A stretch grows from a line whose window reaches the threshold, back and
+    forth over lines with more text than links. A line of links ends it, unless
+    the rest of the window behind it has more text than links: then the line is
+    part of the text."""
+    linked = linked or [0] * len(weights)
+    own = [weight > links for weight, links in zip(weights, linked, strict=True)]
+    spans, i, free = [], 0, 0
+    while i < len(weights):
+        if not own[i] or sum(weights[i:i + WINDOW_LINES]) < SURGE_CHARS:
+            i += 1
+            continue
+        start = i
+        while start > free and own[start - 1]:
+            start -= 1
+        while i < len(weights):
+            ahead = slice(i + 1, i + WINDOW_LINES)
+            if not own[i] and sum(weights[ahead]) <= sum(linked[ahead]):
+                break
+            i += 1
+        spans.append((start, i))
+        free = i
     return spans
 
 
 def main_text(page: str) -> str:
     lines = strip_markup(page)
-    kept = [
-        line.text for start, end in text_spans(line_weights(lines)) for line in lines[start:end]
-    ]
+    kept = []
+    # The borders of the declared article end a stretch, too.
+    for _, part in groupby(lines, key=lambda line: line.inside):
+        run = list(part)
+        for start, end in text_spans(line_weights(run), link_weights(run)):
+            kept.extend(line.text for line in run[start:end])
     return "\n\n".join(kept)
 
 

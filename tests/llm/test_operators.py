@@ -301,6 +301,22 @@ def test_surge_and_dive_without_a_declared_article():
     assert html.text_spans([0, 10, 200, 0, 0, 0, 5, 0]) == [(1, 3)]
 
 
+def test_short_tails_lists_and_link_paragraphs():
+    body = "Sentence of the text. " * 9
+    links = "".join(f"<div><a href=x>Link {i}</a></div>" for i in range(6))
+    parts = ["Title", "By A. Writer", body, "<a href=x>a paragraph that is one link</a>", body, "one", "two", "three",
+             "four", "Heading", "Thntst ndonre the."]
+    page = links + "".join(f"<p>{part}</p>" for part in parts) + links + "<div>Imprint</div>"
+    clean = [*parts[:3], "a paragraph that is one link", *parts[4:]]
+    assert html.main_text(page).split("\n\n") == [part.strip() for part in clean]
+    # A declared article that holds the lead only.
+    lead = f"{links}<article><p>The lead.</p></article>{links}<div><p>{body}</p><p>{body}</p><p>Short.</p></div>{links}"
+    assert html.main_text(lead).split("\n\n") == ["The lead.", body.strip(), body.strip(), "Short."]
+    # Two stretches with links between them.
+    two = f"<p>{body}</p>{links}<p>Next</p><p>{body}</p>"
+    assert html.main_text(two).split("\n\n") == [body.strip(), "Next", body.strip()]
+
+
 def test_article_sections_with_furniture_words_stay():
     page = ('<article><h2 id="related-work">Related work</h2><section id="search-and-rescue"><p>Rescue</p></section>'
             '<p id="social-history">History</p><p class="comment-on-results">Results</p><p>Before <svg/>mid '

@@ -257,8 +257,9 @@ def span_digests(spans: DataFrame) -> DataFrame:
     )
 
 
-# What is masked, the longest proposals first, so that no part of one is left.
-MASK_ORDER = (0, 7, 8, 6, 4, 5, 1, 2, 3)
+# What is masked: proposals that may hold others first, base proposals before
+# the added ones of their kind, so that no part of a confirmed one is left.
+MASK_ORDER = (0, 8, 6, 1, 2, 4, 3, 7, 5)
 
 
 def mask(text: Column, proposal: Proposal) -> Column:

@@ -465,6 +465,13 @@ def test_masking_leaves_nothing(spark):
     assert "[EMAIL]" in got[9] and "[PHONE]" in got[9] and "300.1.1.1" in got[9]
 
 
+def test_masking_leaves_no_digit_of_a_base_phone(spark):
+    texts = ["tel +49 (30) 1234 5678 90 now", "ssn +1 123-45-6789 now", "call +1 (017) 555-7713 or +1 (136) 555-7479."]
+    docs = documents(spark, [(k, text, "en", "s", 0) for k, text in enumerate(texts)])
+    got = {r["doc_id"]: r["text"] for r in pii.mask_documents(docs).collect()}
+    assert got == {0: "tel [PHONE] now", 1: "ssn [PHONE] now", 2: "call [PHONE] or [PHONE]."}
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32",), ("GB82 WEST 1234 5698 7654 33",)], "t string")
     assert [r[0] for r in df.select(pii.mod97(F.col("t"))).collect()] == [True, False]

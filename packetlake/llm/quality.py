@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetlake.llm.common import BLANK_CLASS, WORD_CLASS, whole_text
@@ -38,6 +38,14 @@ RULES = {
     "capitals": ("n_capitals", "word_chars"),
     "shouts": ("n_shouts", "n_words"),
 }
+# Steps of the joint test: each lowers one rule's cut-off, so a document that
+# one step rejects is rejected by all later ones. Marks first, which prose has
+# least of, then the others in turn.
+_MARKS = ("symbols", "shouts")
+STEPS = (
+    *((rule, cutoff) for rule in _MARKS for cutoff in CUTOFFS),
+    *((rule, cutoff) for cutoff in CUTOFFS for rule in ("capitals", "repeats", "dup_lines")),
+)
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
     "n_capitals", "n_shouts",
@@ -153,10 +161,9 @@ def stratum_of(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(NO_STRATUM))
 
 
-def false_rejections(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, rule, cutoff, n, k): good documents that pass the fixed rules,
-    and those of them above each cut-off. ``measured`` has doc_id, stratum and
-    the measures; a document is good if all its labels say so. Labels without
+def holdouts(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """The good documents that pass the fixed rules. ``measured`` has doc_id,
+    stratum and the measures; a document is good if all its labels say so. Labels without
     an id or a verdict do not count, a document that is repeated counts once
     for each row."""
     good = (
@@ -164,7 +171,13 @@ def false_rejections(measured: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("doc_id").agg(F.min("quality").alias("good"))
         .where("good = 1").select("doc_id")
     )
-    holdout = measured.where(~base_failed(F.col("m"))).join(good, "doc_id", "left_semi")
+    return measured.where(~base_failed(F.col("m"))).join(good, "doc_id", "left_semi")
+
+
+def false_rejections(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, rule, cutoff, n, k): good documents that pass the fixed rules,
+    and those of them above each cut-off."""
+    holdout = holdouts(measured, labels)
     scored = holdout.select(
         "stratum", F.explode(F.array(*(
             F.struct(F.lit(rule).alias("rule"), score(F.col("m"), rule).alias("score"))
@@ -222,6 +235,51 @@ def certified(
     return store_stage(safe_cutoffs(counts, false_rejections_allowed, error), "cutoffs")
 
 
+def joint_rejections(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, step, rule, cutoff, n, k): good documents that pass the fixed
+    rules, and those of them that any rule rejects after each step."""
+    scored = holdouts(measured, labels).select(
+        "stratum", *(score(F.col("m"), rule).alias(rule) for rule in RULES)
+    ).select("stratum", F.array_min(F.array(*(
+        F.when(F.col(rule) > cutoff, F.lit(j)) for j, (rule, cutoff) in enumerate(STEPS)
+    ))).alias("first"))
+    counted = scored.groupBy("stratum").agg(
+        F.count("*").alias("n"),
+        *(F.count_if(F.col("first") <= j).alias(f"k{j}") for j in range(len(STEPS))),
+    )
+    return counted.select("stratum", "n", F.explode(F.array(*(
+        F.struct(
+            F.lit(j).alias("step"), F.lit(rule).alias("rule"), F.lit(cutoff).alias("cutoff"),
+            F.col(f"k{j}").alias("k"),
+        ) for j, (rule, cutoff) in enumerate(STEPS)
+    ))).alias("s")).select("stratum", "s.step", "s.rule", "s.cutoff", "n", "s.k")
+
+
+def joint_cutoffs(
+    counts: DataFrame, rate: float = FALSE_REJECTIONS, error: float = ERROR
+) -> DataFrame:
+    """(stratum, cutoffs map<rule, cutoff>) after the last step before the first
+    one that is not safe. The loss is that of all rules together, so the rate is
+    not divided, and the error only by the strata."""
+    strata = max(1, counts.select("stratum").distinct().count())
+    tested = counts.withColumn(
+        "p",
+        F.when(
+            F.col("k") < F.col("n") * rate, binomial_cdf(F.col("k"), F.col("n"), rate)
+        ).otherwise(F.lit(1.0)),
+    )
+    unsafe = F.min(F.when(F.col("p") > error / strata, F.col("step"))).over(
+        Window.partitionBy("stratum")
+    )
+    return (
+        tested.withColumn("unsafe", unsafe)
+        .where("unsafe IS NULL OR step < unsafe")
+        .groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+        .groupBy("stratum")
+        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    )
+
+
 def rejected_by(m: Column, cutoffs: Column) -> Column:
     """Names of the rules that reject, in the order of RULES."""
     return F.filter(
@@ -260,11 +318,15 @@ def judge(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns. The texts stay
+    """The documents that the fixed rules and the jointly certified cut-offs
+    keep, with all their columns. The texts stay
     where they are: they are measured once for the labelled documents, and
     again while they are filtered."""
     labelled = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    cutoffs = certified(store_stage(narrow(labelled), "measures"), labels)
+    counts = store_stage(
+        joint_rejections(store_stage(narrow(labelled), "measures"), labels), "joint-rejections"
+    )
+    cutoffs = store_stage(joint_cutoffs(counts), "cutoffs")
     m = F.col("__measures")
     judged = measure(docs).withColumn("__stratum", stratum_of(docs)).join(
         cutoffs.select(F.col("stratum").alias("__stratum"), F.col("cutoffs").alias("__cutoffs")),

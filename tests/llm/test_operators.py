@@ -272,6 +272,23 @@ def test_cutoffs_keep_good_documents(spark):
     assert kept.columns == docs.columns and kept.count() == 2002
 
 
+def test_a_few_hundred_labels_certify_jointly(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    noisy = " ".join(f"w{i}$" for i in range(60))
+    rows = [(k, prose, lang, "s", 0) for lang, at, n in (("de", 0, 300), ("es", 1000, 150), ("fr", 2000, 50))
+            for k in range(at, at + n)]
+    rows += [(9000 + k, noisy, lang, "s", 0) for k, lang in enumerate(("de", "es", "fr"))]
+    labels = spark.createDataFrame([(k, int(k < 9000)) for k, *_ in rows], "doc_id bigint, quality int")
+    kept = {r["doc_id"] for r in quality.keep_good(documents(spark, rows), labels).collect()}
+    assert kept == {k for k, *_ in rows} - {9000, 9001}
+    # The loss of all rules together ends the sequence.
+    steps = [("en", j, rule, cutoff, 1000, 0 if j < 30 else 25) for j, (rule, cutoff) in enumerate(quality.STEPS)]
+    counts = spark.createDataFrame(steps, "stratum string, step int, rule string, cutoff int, n bigint, k bigint")
+    assert quality.joint_cutoffs(counts).first()["cutoffs"] == {
+        "symbols": 25, "shouts": 25, "capitals": 900, "repeats": 900,
+    }
+
+
 def test_a_failed_cutoff_ends_the_sequence(spark):
     rows = [("en", "symbols", 100_000, c, 90_000 if c == 300 else 0) for c in quality.CUTOFFS]
     counts = spark.createDataFrame(rows, "stratum string, rule string, n bigint, cutoff int, k bigint")

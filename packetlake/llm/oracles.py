@@ -67,3 +67,77 @@ SELECT doc_id, {", ".join(quality.MEASURES)}, base_failed, NOT base_failed AND r
 
 
 ORACLES["op4_quality_rules"] = _quality_sql()
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row: for each state of the role pattern (z
+    nothing, s, u and a the last role) the least (cost, audit) and its lines."""
+
+    def least(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+    def way(state: str, cost: str, letter: str, line: str = "", only: str = "true") -> str:
+        lines = f"list_append({state}.l, {line})" if line else f"{state}.l"
+        return (
+            f"CASE WHEN {state} IS NOT NULL AND {only} THEN "
+            f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'l': {lines}}} END"
+        )
+
+    def edits(state: str, initial: str, sources: tuple[str, ...]) -> str:
+        deleted = way(f"{state}i" if state in "ua" else state, "2", "D")
+        kept = [way(x, "late", "K", "role || ':' || text", f"stays AND initial = '{initial}'") for x in sources]
+        role = {"u": "user", "a": "assistant"}.get(state)
+        moved = [way(x, "1 + late", "R", f"'{role}:' || text", "stays") for x in sources if role]
+        return least(deleted, *kept, *moved)
+
+    def inserted(source: str) -> str:
+        new_user = [way(x, "5", "I", "'user:'") for x in ("z", "s", "a")]
+        return (
+            f"SELECT *, {least('a', way('ui', '5', 'I', QUOTED))} AS ai FROM "
+            f"(SELECT *, {least('u', *new_user)} AS ui FROM {source})"
+        )
+
+    QUOTED = "'assistant:'"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), "
+        "lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+    blank = r"[\x20\x09-\x0D]"
+    kind = "STRUCT(c BIGINT, a VARCHAR, l VARCHAR[])"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+fated AS (SELECT *, {crc} % 20 AS fate FROM keyed, crc),
+after AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM fated WHERE fate <> 0),
+numbered AS (SELECT *, left(role, 1) AS initial,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+  NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  NOT regexp_matches(text, '[.!?]{blank}*$') AS open FROM after),
+judged AS (SELECT *, NOT blank AND NOT again AS stays, CASE WHEN open THEN 5 ELSE 0 END AS late,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM numbered),
+counts AS (SELECT conv_id, max(pos) AS n,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+  count(*) FILTER (stays AND open) AS truncated,
+  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+parse AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS at, CAST({{'c': 0, 'a': '', 'l': []}} AS {kind}) AS z,
+    CAST(NULL AS {kind}) AS s, CAST(NULL AS {kind}) AS u, CAST(NULL AS {kind}) AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, CAST({way("z", "2", "D")} AS {kind}), CAST({edits("s", "s", ("z",))} AS {kind}),
+    CAST({edits("u", "u", ("z", "s", "ai"))} AS {kind}), CAST({edits("a", "a", ("ui",))} AS {kind})
+  FROM ({inserted("(SELECT p.*, j.pos, j.role, j.text, j.initial, j.stays, j.late FROM parse p JOIN judged j "
+                  "ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.pos = p.at + 1)")})),
+ended AS (SELECT conv_id, at, {least("z", "ai")} AS best FROM ({inserted("parse")}))
+SELECT e.conv_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+  best.c AS cost, best.a AS audit, sha256(array_to_string(best.l, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.at = coalesce(c.n, 0)"""
+
+
+ORACLES["op13_conversation_repair"] = _repair_sql()

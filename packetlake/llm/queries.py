@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetlake.llm import (
-    bpe, html, language, licenses, packing, pii, quality, sharding, simhash, topk,
+    backtrack, bpe, html, language, licenses, packing, pii, quality, repair, sharding, simhash, topk,
 )
 from packetlake.llm.common import read_table
 from packetlake.llm.oracles import ORACLES  # noqa: F401
@@ -87,3 +87,14 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return backtrack.round_trip(read_table(spark, folder, "documents"), path)
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(repair.damage(read_table(spark, folder, "conversations")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packetlake.llm import (
     backtrack, bpe, html, language, licenses, packing, pii, quality, repair, sharding, simhash, topk,
+    whitening,
 )
 from packetlake.llm.common import read_table
 from packetlake.llm.oracles import ORACLES  # noqa: F401
@@ -95,6 +96,11 @@ def op11_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return backtrack.round_trip(read_table(spark, folder, "documents"), path)
 
 
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair(repair.damage(read_table(spark, folder, "conversations")))

@@ -71,4 +71,16 @@ def store_stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    stored.stage_paths = [path]
+    return stored
+
+
+def drop_stages(*stages: DataFrame) -> None:
+    """Delete the files of stored stages that nothing reads any more. Frames
+    derived from them must have been stored before; others are left alone."""
+    for stage in stages:
+        for path in getattr(stage, "stage_paths", ()):
+            context = stage.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

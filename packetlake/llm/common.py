@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlake.session import store_stage
+from packetlake.session import drop_stages, store_stage
 
 # White space of the word pattern [^\x20\x09-\x0D]+.
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the undirected ``edges`` (a, b); the component is
     its smallest node. Alternating large-star and small-star steps until the
     edges are stars; each step is stored in the shared folder, so a lost
-    executor costs one step. Loops and repeated edges do no harm, edges with a
+    executor costs one step, and deleted once the next one is. Loops and repeated edges do no harm, edges with a
     null end are left out.
     """
     pairs = (
@@ -58,13 +58,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ).first()
         if now == before:
             break
-        before = now
-        pairs = store_stage(_small_star(_large_star(pairs)), "edges")
+        before, last = now, pairs
+        pairs = store_stage(_small_star(_large_star(last)), "edges")
+        drop_stages(last)
     members = pairs.select(F.col("high").alias("node"), F.col("low").alias("component"))
     centres = pairs.select("low").distinct().select(
         F.col("low").alias("node"), F.col("low").alias("component")
     )
-    return members.unionByName(centres)
+    found = members.unionByName(centres)
+    found.stage_paths = pairs.stage_paths
+    return found
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:

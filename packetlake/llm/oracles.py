@@ -127,17 +127,17 @@ counts AS (SELECT conv_id, max(pos) AS n,
   count(*) FILTER (stays AND open) AS truncated,
   count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
 parse AS (
-  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS at, CAST({{'c': 0, 'a': '', 'l': []}} AS {kind}) AS z,
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS place, CAST({{'c': 0, 'a': '', 'l': []}} AS {kind}) AS z,
     CAST(NULL AS {kind}) AS s, CAST(NULL AS {kind}) AS u, CAST(NULL AS {kind}) AS a FROM conversations
   UNION ALL
   SELECT conv_id, pos, CAST({way("z", "2", "D")} AS {kind}), CAST({edits("s", "s", ("z",))} AS {kind}),
     CAST({edits("u", "u", ("z", "s", "ai"))} AS {kind}), CAST({edits("a", "a", ("ui",))} AS {kind})
   FROM ({inserted("(SELECT p.*, j.pos, j.role, j.text, j.initial, j.stays, j.late FROM parse p JOIN judged j "
-                  "ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.pos = p.at + 1)")})),
-ended AS (SELECT conv_id, at, {least("z", "ai")} AS best FROM ({inserted("parse")}))
+                  "ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.pos = p.place + 1)")})),
+ended AS (SELECT conv_id, place, {least("z", "ai")} AS best FROM ({inserted("parse")}))
 SELECT e.conv_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
   best.c AS cost, best.a AS audit, sha256(array_to_string(best.l, chr(10))) AS repaired_sha256
-FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.at = coalesce(c.n, 0)"""
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.place = coalesce(c.n, 0)"""
 
 
 ORACLES["op13_conversation_repair"] = _repair_sql()

@@ -52,18 +52,25 @@ def test_messages_round_trip_and_bad_ones_are_dropped(spark, tmp_path):
     assert tuple(row) == packet(1, 0.25, sport=None, flags="SYN")
 
 
+def far(k):
+    return packet(900 + k, 100_000 + 100 * k, src="192.0.2.1", dst="192.0.2.2", protocol="ICMP")
+
+
 def test_state_is_kept_across_batches(spark, tmp_path):
     replay = Replay(spark, tmp_path, XS.online_sessions)
     replay.feed([packet(1, 0, size=100), packet(2, 4, size=50)])
     assert replay.drain().count() == 0
     replay.feed([packet(3, 8, "10.0.0.2", "10.0.0.1", 443, 12345, size=10)])
     assert replay.drain().count() == 0
-    replay.feed([packet(4, 13.5, size=1)])  # 5.5 s later: the first session closes
-    (row,) = XS.closed_sessions(replay.drain()).collect()
-    assert (row.packet_count, row.total_bytes) == (3, 160)
-    replay.feed([packet(5, 14, flags="FIN,ACK", size=2)])  # closes at once
+    replay.feed([packet(4, 13.5, size=1)])  # 5.5 s later: another session
+    replay.feed([packet(5, 14, flags="FIN,ACK", size=2), packet(6, 14.2, size=7)])
+    assert replay.drain().count() == 0  # earlier packets may still come
+    replay.feed([packet(7, 25.5, size=9)])  # the watermark passes the terminator
     rows = XS.closed_sessions(replay.drain()).orderBy("started_at").collect()
     assert [(r.packet_count, r.total_bytes) for r in rows] == [(3, 160), (2, 3)]
+    replay.feed([FAR])
+    rows = XS.closed_sessions(replay.drain()).orderBy("started_at").collect()
+    assert [(r.packet_count, r.total_bytes) for r in rows] == [(3, 160), (2, 3), (1, 7), (1, 9)]
 
 
 def test_watermark_closes_idle_sessions(spark, tmp_path):
@@ -76,6 +83,121 @@ def test_watermark_closes_idle_sessions(spark, tmp_path):
     assert (row.low_ip, row.packets) == ("10.0.0.1", 1)
 
 
+def test_any_cut_gives_the_batch_sessions(spark, tmp_path):
+    import random
+
+    rng = random.Random(21)
+    rows = sorted(
+        (packet(
+            # A third of the packets are of one flow.
+            i, round(rng.uniform(0, 240), 2), src=rng.choice(["10.0.0.1"] * 2 + ["10.0.0.3", "10.0.0.4"]),
+            dport=rng.choice([80] * 2 + [443]), size=rng.choice([40, 60, 1500]),
+            flags=rng.choice([None, "ACK", "SYN", "FIN"] + [None] * 6),
+        ) for i in range(500)),
+        key=lambda r: r[1],
+    )
+    built = S.build_sessions(packets(spark, rows), XS.IDLE_SECONDS)
+    key = lambda df: sorted(map(tuple, df.select(*S.SESSION_COLS).fillna("").collect()))
+    want = key(built)
+    for cut in range(2):
+        folder = tmp_path / str(cut)
+        folder.mkdir()
+        replay = Replay(spark, folder, XS.online_sessions)
+        # Late by up to 9 s: packets of several batches are mixed.
+        mixed = sorted(rows, key=lambda r: r[1].timestamp() + rng.uniform(0, 9))
+        at = 0
+        while at < len(mixed):
+            n = rng.choice([60, 120, 200])
+            replay.feed(mixed[at:at + n])
+            at += n
+            replay.drain()
+        replay.feed([FAR])
+        assert key(XS.closed_sessions(replay.drain())) == want
+
+
+def test_many_sizes_and_ports_stay_exact(spark, tmp_path):
+    replay = Replay(spark, tmp_path, lambda s: XS.online_sessions(s, inline=3))
+    # To one address without ports of its own, so that all is one flow.
+    rows = [
+        packet(k, 0.5 * k, sport=None, dport=None, protocol="ICMP", size=k % 11) for k in range(60)
+    ]
+    for at in range(0, 60, 20):
+        replay.feed(rows[at:at + 20])
+        replay.drain()
+    replay.feed([packet(70, 60, sport=None, dport=None, protocol="ICMP", size=1)])
+    replay.drain()
+    replay.feed([FAR])
+    first, second = replay.drain().filter("low_ip = '10.0.0.1'").orderBy("first_at").collect()
+    assert dict(zip(first.sizes, first.size_counts, strict=True)) == {k: 6 - (k > 4) for k in range(11)}
+    # The maps of the first session are gone.
+    assert (second.sizes, second.size_counts, second.packets) == ([1], [1], 1)
+
+
+class Store:
+    """A state variable of one key, which counts what is written."""
+
+    def __init__(self):
+        self.values, self.written = {}, 0
+
+    def get(self):
+        return self.values.get("one")
+
+    def update(self, value):
+        self.values["one"] = value
+
+    def clear(self):
+        self.values.clear()
+
+    def getValue(self, key):
+        return self.values.get(key)
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def updateValue(self, key, value):
+        self.values[key], self.written = value, self.written + 1
+
+    def iterator(self):
+        return iter(list(self.values.items()))
+
+    def keys(self):
+        return iter(list(self.values))
+
+
+def test_a_flow_of_many_ports_writes_only_changes():
+    class Handle:
+        timers = set()
+        registerTimer, deleteTimer = timers.add, timers.discard
+
+        def getValueState(self, *_):
+            return Store()
+
+        def getMapState(self, *_):
+            return Store()
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    def fragment(at, ports):
+        values = dict.fromkeys(XS.SUMS, 0) | {
+            "first_at": at, "last_at": at, "initiator": "a", "packets": 1, "gap_min": None,
+            "gap_max": None, "sizes": [40], "size_counts": [1], "ports": ports, "ends": False,
+        }
+        return {"slice_end": at, "fragments": [values]}
+
+    sessions = XS.OnlineSessions(5.0)
+    sessions.init(Handle())
+    key = tuple("abcde")
+    assert not list(sessions.handleInputRows(key, [fragment(1, list(range(60_000)))], Clock()))
+    assert sessions.ports.written == 60_000 and not sessions.state.get()[XS.STATE.index("ports")]
+    assert not list(sessions.handleInputRows(key, [fragment(2, [5, 70_000])], Clock()))
+    assert sessions.ports.written == 60_001
+    (closed,) = sessions.handleExpiredTimer(key, Clock(), None)
+    assert len(closed.ports) == 60_001 and closed.size_counts == [2]
+    assert sessions.state.get() is None and not sessions.ports.values
+
+
 def test_stream_equals_batch(spark, tmp_path):
     import random
 
@@ -122,9 +244,9 @@ def test_initiator_direction(spark, tmp_path):
     replay = Replay(spark, tmp_path, XS.online_sessions)
     replay.feed([
         packet(1, 0, "10.0.0.2", "10.0.0.1", 443, 12345, size=300),
-        packet(2, 1, size=100, flags="RST"),
+        packet(2, 1, size=100, flags="RST"), FAR,
     ])
-    closed = replay.drain()
+    closed = replay.drain().filter("low_ip = '10.0.0.1'")
     ratio = lambda d: XS.closed_features(closed, d).first().fwd_bwd_byte_ratio
     assert ratio("initiator") == 3.0 and ratio("canonical") == pytest.approx(1 / 3)
 

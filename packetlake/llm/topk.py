@@ -1,15 +1,14 @@
 """Exact top-k inner products over norm buckets.
 
 Vectors are grouped by length into half-octave levels and cut into blocks of a
-bounded size. Each query gets a lower bound of its k-th score from the longest
-vectors. A level is looked at only by queries whose length times the level's
-longest vector reaches that bound. Inside a block the bound becomes a local
-cosine threshold: where it is low, only the length of a candidate prunes; where
-it is high, the query's largest coordinates bound the candidate's ones, and
-only vectors within those bounds are verified by their whole inner product.
-
-Queries and candidates meet in blocks; what is emitted are candidates at or
-above the bound, at most k for a query and block.
+bounded size, longest first. Queries meet the blocks in rounds of doubling size.
+After a round each query knows the k-th best score so far, a lower bound for the
+next one, so a round hands on about as many rows for each query as the last. A
+level is looked at only by queries whose length times the level's longest vector
+reaches their bound. Inside a block the bound becomes a local cosine threshold:
+where it is low, only the length of a candidate prunes; where it is high, the
+query's largest coordinates bound the candidate's ones, and only vectors within
+those bounds are verified by their whole inner product.
 """
 
 from __future__ import annotations
@@ -22,20 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetlake.session import store_stage
+from packetlake.session import drop_stages, store_stage
 
 K = 20
 SCALE = 64.0
 # Candidates of a block, and queries that meet it at a time.
 BLOCK_ROWS = 2048
 QUERY_ROWS = 512
-# The longest vectors, from which the first bound of each query comes.
-SEEDS = 1024
 # Local cosine from which coordinates prune, and the coordinates looked at.
 COORDINATE_COSINE = 0.4
 FOCUS = 3
 SLACK = 1e-9
 EXACT = float(1 << 53)
+LARGEST = (1 << 63) - 1
 
 
 def integer_vectors(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -70,56 +68,25 @@ def _matrix(vectors: list[list[int]], width: int) -> np.ndarray:
 
 
 def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact inner products; beyond 53 bits in whole numbers."""
+    """Exact inner products; beyond 53 bits in whole numbers, beyond 64 bits the
+    largest or least such number."""
     bound = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(1, left.shape[-1])
     if bound < EXACT:
         return (left @ right.T).astype(np.int64)
-    whole = left.astype(np.int64).astype(object) @ right.T.astype(np.int64).astype(object)
-    return np.asarray(whole)
 
+    def whole(values: np.ndarray) -> np.ndarray:
+        return np.array([int(v) for v in values.ravel()], object).reshape(values.shape)
 
-def with_bounds(queries: DataFrame, seeds: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """``queries`` with ``bound``: the k-th best score among the seed vectors,
-    null where there are fewer than k besides the query's own."""
-    names = ["row", "vec_id", "v", "norm"]
-    rows = np.array([row for row, _ in seeds], np.int64)
-    vectors = [v for _, v in seeds]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.column("v").to_pylist()
-            width = max(map(len, asked + vectors), default=0)
-            scores = _products(_matrix(asked, width), _matrix(vectors, width))
-            own = np.array(batch.column("row").to_pylist())[:, None] == rows[None, :]
-            bounds = []
-            for line, mine in zip(scores, own, strict=True):
-                others = np.sort(line[~mine])
-                bounds.append(float(others[-k]) if len(others) >= k else None)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(bounds, pa.float64())],
-                [*names, "bound"],
-            )
-
-    return queries.select(names).mapInArrow(
-        run, "row bigint, vec_id bigint, v array<bigint>, norm double, bound double"
-    )
+    exact = whole(left) @ whole(right.T)
+    return np.clip(exact, -LARGEST - 1, LARGEST).astype(np.int64)
 
 
 def _survivors(
-    unit: np.ndarray, norms: np.ndarray, order: np.ndarray, query: np.ndarray, bound: float | None
+    unit: np.ndarray, norms: np.ndarray, near: np.ndarray, query: np.ndarray, cosine: float
 ) -> np.ndarray:
-    """Candidates of a block that may reach the bound; ``order`` lists them by
-    falling length."""
-    length = float(np.sqrt(query @ query))
-    if bound is None or bound <= 0 or length == 0:
-        return order
-    longest = norms[order[0]]
-    near = order[: np.searchsorted(-norms[order], -bound / length * (1 - SLACK), side="right")]
-    cosine = bound / (length * longest) - SLACK if longest else 0.0
-    if cosine < COORDINATE_COSINE or not len(near):
-        return near
+    """Of the candidates ``near``, those whose coordinates allow the cosine."""
+    direction = query / float(np.sqrt(query @ query))
     cosine = min(cosine, 1.0)
-    direction = query / length
     for f in np.argsort(-np.abs(direction))[:FOCUS]:
         spread = math.sqrt(max(0.0, (1 - direction[f] ** 2) * (1 - cosine**2))) + SLACK
         # Above the cosine the interval only shrinks towards the query, but for
@@ -134,7 +101,7 @@ def _survivors(
 
 
 def score_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """The best k of each query in each block it meets."""
+    """The best k of each query in each block it meets, at or above its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,99 +111,161 @@ def score_blocks(pairs: DataFrame, k: int) -> DataFrame:
                 yield _score_block(asked, stored, k)
 
     return pairs.select("queries", "candidates").mapInArrow(
-        run, "query_row bigint, query_id bigint, vec_id bigint, score bigint"
+        run, "query_row bigint, query_id bigint, vec_id bigint, row bigint, score bigint"
     )
 
 
 def _score_block(asked: list[dict], stored: list[dict], k: int) -> pa.RecordBatch:
     width = max(len(x["v"]) for x in asked + stored)
     candidates = _matrix([x["v"] for x in stored], width)
+    norms = np.sqrt((candidates**2).sum(axis=1))
+    order = np.argsort(-norms, kind="stable")
+    stored, candidates, norms = [stored[i] for i in order], candidates[order], norms[order]
     queries = _matrix([x["v"] for x in asked], width)
+    lengths = np.sqrt((queries**2).sum(axis=1))
     rows = np.array([x["row"] for x in stored], np.int64)
     # Null ids come last among equal scores.
-    ids = np.array([np.iinfo(np.int64).max if x["vec_id"] is None else x["vec_id"] for x in stored])
-    norms = np.sqrt((candidates**2).sum(axis=1))
+    ids = np.array([LARGEST if x["vec_id"] is None else x["vec_id"] for x in stored])
     unit = candidates / np.where(norms > 0, norms, 1)[:, None]
-    order = np.argsort(-norms, kind="stable")
-    out: list[tuple] = []
-    for query, x in zip(queries, asked, strict=True):
-        near = _survivors(unit, norms, order, query, x["bound"])
-        near = near[rows[near] != x["row"]]
-        scores = _products(candidates[near], query[None, :])[:, 0]
+
+    # By length: how many of the longest candidates may reach each bound.
+    reach, cosines = np.full(len(asked), len(stored)), np.zeros(len(asked))
+    for i, x in enumerate(asked):
+        if x["bound"] is not None and x["bound"] > 0 and lengths[i] > 0:
+            least = x["bound"] / lengths[i] * (1 - SLACK)
+            reach[i] = np.searchsorted(-norms, -least, side="right")
+            cosines[i] = least / norms[0] - SLACK if norms[0] else 0.0
+
+    found: list[tuple] = []
+
+    def keep(i: int, near: np.ndarray, scores: np.ndarray) -> None:
+        x = asked[i]
+        good = rows[near] != x["row"]
         if x["bound"] is not None:
-            reached = scores >= x["bound"]
-            near, scores = near[reached], scores[reached]
+            good &= scores >= x["bound"]
+        near, scores = near[good], scores[good]
         best = np.lexsort((rows[near], ids[near], -scores))[:k]
-        out += [
-            (x["row"], x["vec_id"], stored[near[i]]["vec_id"], int(scores[i])) for i in best
-        ]
-    columns = list(zip(*out, strict=True)) or [()] * 4
+        found.extend(
+            (x["row"], x["vec_id"], stored[near[j]]["vec_id"], int(rows[near[j]]), int(scores[j])) for j in best
+        )
+
+    narrow = cosines >= COORDINATE_COSINE
+    wide = np.flatnonzero(~narrow & (reach > 0))
+    if len(wide):
+        longest = np.arange(reach[wide].max())
+        products = _products(queries[wide], candidates[longest])
+        for i, scores in zip(wide, products, strict=True):
+            keep(i, longest[:reach[i]], scores[:reach[i]])
+    for i in np.flatnonzero(narrow & (reach > 0)):
+        near = _survivors(unit, norms, np.arange(reach[i]), queries[i], cosines[i])
+        if len(near):
+            keep(i, near, _products(candidates[near], queries[i][None, :])[:, 0])
+    columns = list(zip(*found, strict=True)) or [()] * 5
     return pa.RecordBatch.from_arrays(
         [pa.array(list(column), pa.int64()) for column in columns],
-        ["query_row", "query_id", "vec_id", "score"],
+        ["query_row", "query_id", "vec_id", "row", "score"],
     )
 
 
-def top_products(vectors: DataFrame, query_step: int = 20, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best inner products of each row
-    whose vec_id is divisible by ``query_step``, among all rows but itself.
-
-    Components are floor(64 * x). Ties go to the smaller vec_id; a repeated row
-    is a candidate, and a query of its own if its id says so; a null id is never
-    a query and comes last among ties. Vectors of unequal length are compared
-    as if the shorter ended in zeros. Other columns are not looked at; an empty
-    table gives no rows.
-    """
-    spark = vectors.sparkSession
-    table = store_stage(integer_vectors(vectors), "vectors")
-    # One row for each half octave of lengths: at most about 2,000 for doubles.
-    levels = table.groupBy("level").agg(
-        F.count("*").alias("n"), F.max("norm").alias("longest")
-    ).collect()
-    seeds = [
-        (row["row"], row["v"])
-        for row in table.orderBy(F.desc("norm"), "row").limit(SEEDS).select("row", "v").collect()
-    ]
-    queries = table.where(F.col("vec_id") % query_step == 0)
-    bounded = store_stage(with_bounds(queries, seeds, k), "queries")
-    blocks_of = {x["level"]: -(-x["n"] // BLOCK_ROWS) for x in levels}
-    spec = spark.createDataFrame(
-        [(x["level"], blocks_of[x["level"]], x["longest"] * (1 + SLACK)) for x in levels],
-        "level int, blocks int, longest double",
-    )
-    candidates = (
-        table.join(F.broadcast(spec), "level")
-        .groupBy("level", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block"))
-        .agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("candidates"))
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(
+        Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     )
-    n_queries = bounded.count()
-    sets = -(-n_queries // QUERY_ROWS) or 1
-    levels_met = F.filter(
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _round(
+    queries: DataFrame, blocks: DataFrame, spec: list[tuple[int, int, int, float]], sets: int, k: int
+) -> DataFrame:
+    """Scores of the queries (row, vec_id, v, norm, bound) in the blocks of
+    ``spec``: level, first and last block, longest vector."""
+    met = F.filter(
         F.array(*(
             F.struct(
-                F.lit(x["level"]).alias("level"), F.lit(blocks_of[x["level"]]).alias("blocks"),
-                F.lit(x["longest"] * (1 + SLACK)).alias("longest"),
+                F.lit(level).alias("level"), F.lit(first).alias("first"), F.lit(last).alias("last"),
+                F.lit(longest).alias("longest"),
             )
-            for x in levels
-        )) if levels else F.array().cast("array<struct<level:int,blocks:int,longest:double>>"),
-        lambda level: F.col("bound").isNull()
-        | (F.col("norm") * (1 + SLACK) * level["longest"] >= F.col("bound")),
+            for level, first, last, longest in spec
+        )),
+        lambda x: F.col("bound").isNull() | (F.col("norm") * (1 + SLACK) * x["longest"] >= F.col("bound")),
     )
     asked = (
-        bounded.withColumn("met", F.explode(levels_met))
+        queries.withColumn("met", F.explode(met))
         .groupBy(
             F.pmod(F.xxhash64("row"), F.lit(sets)).alias("set"),
-            F.col("met.level").alias("level"), F.col("met.blocks").alias("blocks"),
+            F.col("met.level").alias("level"), F.col("met.first").alias("first"), F.col("met.last").alias("last"),
         )
         .agg(F.collect_list(F.struct("row", "vec_id", "v", "bound")).alias("queries"))
-        .withColumn("block", F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)
-        ))
+        .withColumn("block", F.explode(F.sequence("first", "last")))
     )
-    found = score_blocks(asked.join(candidates, ["level", "block"]), k)
-    rank = F.row_number().over(
-        Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    )
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
+    inside = F.lit(False)
+    for level, first, last, _ in spec:
+        inside = inside | ((F.col("level") == level) & F.col("block").between(first, last))
+    return score_blocks(asked.join(blocks.where(inside), ["level", "block"]), k)
+
+
+def rounds_of(levels: list[tuple[int, int, float]]) -> list[list[tuple[int, int, int, float]]]:
+    """The blocks of (level, blocks, longest), longest level first, in rounds of
+    1, 1, 2, 4, ... blocks."""
+    out, size, room = [], 1, 1
+    current: list[tuple[int, int, int, float]] = []
+    for level, blocks, longest in sorted(levels, reverse=True):
+        at = 0
+        while at < blocks:
+            take = min(room, blocks - at)
+            current.append((level, at, at + take - 1, longest))
+            at, room = at + take, room - take
+            if not room:
+                out.append(current)
+                current, room = [], size
+                size *= 2
+    return [*out, current] if current else out
+
+
+def top_products(vectors: DataFrame, query_step: int = 20, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best inner products of each row
+    whose vec_id is divisible by ``query_step``, among all rows but itself.
+
+    Components are floor(64 * x); they and the scores end at 64 bits: what is
+    beyond is the largest or least such number. Ties go to the smaller vec_id; a
+    repeated row is a candidate, and a query of its own if its id says so; a null
+    id is never a query and comes last among ties. Vectors of unequal length are
+    compared as if the shorter ended in zeros. Other columns are not looked at;
+    an empty table gives no rows.
+    """
+    table = store_stage(integer_vectors(vectors), "vectors")
+    # One row for each half octave of lengths: at most about 2,000 for doubles.
+    levels = [
+        (x["level"], -(-x["n"] // block_rows), x["longest"] * (1 + SLACK))
+        for x in table.groupBy("level").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
+    ]
+    count = F.create_map(*[F.lit(v) for level, n, _ in levels for v in (level, n)] or [F.lit(0), F.lit(1)])
+    blocks = store_stage(
+        table.groupBy("level", F.pmod(F.xxhash64("row"), count[F.col("level")]).cast("int").alias("block"))
+        .agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("candidates")), "blocks",
     )
+    queries = store_stage(table.where(F.col("vec_id") % query_step == 0).select("row", "vec_id", "v", "norm"), "queries")
+    sets = -(-queries.count() // QUERY_ROWS) or 1
+    best = None
+    for spec in rounds_of(levels):
+        if best is None:
+            bounded = queries.withColumn("bound", F.lit(None).cast("double"))
+        else:
+            # Below the k-th score, as large ones are rounded as doubles.
+            least = F.min("score").cast("double")
+            bounds = best.groupBy(F.col("query_row").alias("row")).agg(
+                F.when(F.count("*") == k, least - F.abs(least) * F.lit(SLACK) - 1).alias("bound")
+            )
+            bounded = queries.join(bounds, "row", "left")
+        found = _round(bounded, blocks, spec, sets, k)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        last, best = best, store_stage(_best(found, k), "best")
+        if last is not None:
+            drop_stages(last)
+    if best is None:
+        return table.where("false").selectExpr(
+            "vec_id AS query_id", "CAST(0 AS INT) AS rank", "vec_id", "CAST(0 AS BIGINT) AS score"
+        )
+    drop_stages(blocks, queries, table)
+    return best.select("query_id", "rank", "vec_id", "score")

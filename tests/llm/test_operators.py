@@ -535,6 +535,25 @@ def test_top_products_of_few_rows(spark):
     assert rows_of(topk.top_products(df.where("vec_id < 0"))) == []
 
 
+def test_top_products_over_rounds_of_blocks(spark):
+    assert [sum(last - first + 1 for _, first, last, _ in r) for r in topk.rounds_of([(3, 5, 9.0), (1, 6, 2.0)])] == [
+        1, 1, 2, 4, 3
+    ]
+    draw = np.random.default_rng(4)
+    vectors = draw.integers(-3, 4, (900, 5)).astype(np.float32) * draw.choice([0.25, 1.0, 8.0], (900, 1))
+    rows = [(int(k) % 850, v.tolist()) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert Counter(rows_of(topk.top_products(df, block_rows=16))) == best_products(rows)
+
+
+def test_products_beyond_64_bits_end_there(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted(rows_of(topk.top_products(df)))
+    most = (1 << 63) - 1
+    assert [(r[2], r[3]) for r in found] == [(1, most), (3, most), (2, -most - 1)]
+
+
 # --- 9 -----------------------------------------------------------------------
 
 

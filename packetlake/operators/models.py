@@ -286,9 +286,13 @@ def upsert_predictions(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def number_predictions(predictions: DataFrame) -> DataFrame:
-    """Ids for the rows that have none, after the highest id in use."""
-    last = predictions.agg(F.coalesce(F.max("prediction_id"), F.lit(0)).alias("m")).scalar()
+def number_predictions(predictions: DataFrame, last_id: int | None = None) -> DataFrame:
+    """Ids for the rows that have none, after the highest id in use: that of
+    ``predictions``, or ``last_id`` where these are only part of the table."""
+    if last_id is None:
+        last = predictions.agg(F.coalesce(F.max("prediction_id"), F.lit(0)).alias("m")).scalar()
+    else:
+        last = F.lit(last_id)
     digest = F.md5(F.concat_ws("|", F.col("session_id").cast("string"), "model_version"))
     fresh = hashed_row_number(
         predictions.filter(F.col("prediction_id").isNull()), [], digest, "_rank"

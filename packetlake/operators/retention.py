@@ -18,13 +18,20 @@ def _older_than(now: Column, days: int) -> Column:
     return F.col("finished_at") < now - F.expr(f"INTERVAL {days} DAYS")
 
 
+def expired_staging_runs(runs: DataFrame, now: Column, days: int = STAGING_DAYS) -> DataFrame:
+    """run_id of successful runs that finished long ago."""
+    return runs.filter((F.col("status") == "success") & _older_than(now, days)).select("run_id")
+
+
+def expired_runs(runs: DataFrame, now: Column, days: int = RUN_DAYS) -> DataFrame:
+    """run_id of runs that finished long ago, with any status."""
+    return runs.filter(F.coalesce(_older_than(now, days), F.lit(False))).select("run_id")
+
+
 def expire_staging(staging: DataFrame, runs: DataFrame, now: Column,
                    days: int = STAGING_DAYS) -> DataFrame:
     """Staged rows without those of successful runs finished long ago."""
-    expired = runs.filter(
-        (F.col("status") == "success") & _older_than(now, days)
-    ).select("run_id")
-    return staging.join(expired, "run_id", "left_anti")
+    return staging.join(expired_staging_runs(runs, now, days), "run_id", "left_anti")
 
 
 def expire_runs(runs: DataFrame, staging: DataFrame, now: Column,

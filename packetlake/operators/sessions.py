@@ -241,12 +241,14 @@ def packet_assignments(assigned: DataFrame) -> DataFrame:
     return assigned.select("packet_id", "flow_hash")
 
 
-def upsert_sessions(existing: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_sessions(existing: DataFrame, new: DataFrame, last_id: int | None = None) -> DataFrame:
     """The sessions table after inserting ``new``; a known flow_hash keeps its
     row but takes the later end and adds packets and bytes.
 
     ``existing`` has session_id. Rows new to the table get the next ids, in
     flow_hash order. Sessions of ``new`` that share a flow_hash merge too.
+    Where ``existing`` is only part of the table, ``last_id`` is the highest id
+    in use.
     """
     kept = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "started_at"]
     both = existing.select("session_id", *SESSION_COLS).unionByName(
@@ -263,10 +265,13 @@ def upsert_sessions(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
     known = merged.filter(F.col("session_id").isNotNull())
     fresh = merged.filter(F.col("session_id").isNull()).drop("session_id")
-    last_id = existing.agg(F.coalesce(F.max("session_id"), F.lit(0)).alias("m")).scalar()
+    if last_id is None:
+        last = existing.agg(F.coalesce(F.max("session_id"), F.lit(0)).alias("m")).scalar()
+    else:
+        last = F.lit(last_id)
     numbered = hashed_row_number(
         fresh, [], F.replace("flow_hash", F.lit("-"), F.lit("")), "_rank"
-    ).withColumn("session_id", (last_id + F.col("_rank")).cast("bigint"))
+    ).withColumn("session_id", (last + F.col("_rank")).cast("bigint"))
     return known.select("session_id", *SESSION_COLS).unionByName(
         numbered.select("session_id", *SESSION_COLS)
     )

@@ -17,6 +17,13 @@ from packetlake.operators import models as model_ops
 from packetlake.operators import sessions as session_ops
 from packetlake.operators.cleaning import check_packets, strict_gate
 from packetlake.operators.ingest import dedup_insert, ingestion_run_row
+from packetlake.operators.retention import (
+    RUN_DAYS,
+    STAGING_DAYS,
+    expired_runs,
+    expired_staging_runs,
+)
+from packetlake.plans.keyed import MOST_COMMITS
 from packetlake.plans.warehouse import Warehouse
 from packetlake.schemas import (
     ALERTS_SCHEMA,
@@ -28,9 +35,15 @@ from packetlake.schemas import (
     SESSIONS_SCHEMA,
     attack_labels,
 )
-from packetlake.session import store_stage
+from packetlake.session import drop_stages, store_stage
 from packetlake.sources.readers import read_packets
 
+SESSION_KEY = ["flow_hash"]
+FEATURE_KEY = ["session_id"]
+PREDICTION_KEY = ["session_id", "model_version"]
+ALERT_KEY = ["alert_id"]
+KEYED = ("sessions", "session_features", "predictions", "alerts")
+
 _FEATURE_TYPES = {"total_bytes": T.LongType(), "total_packets": T.LongType(),
                   "unique_dst_ports": T.IntegerType()}
 FEATURES_SCHEMA = T.StructType(
@@ -141,18 +154,45 @@ def sessionize(house: Warehouse, idle_seconds: float = session_ops.IDLE_SECONDS)
         done |= set(unlinked)
     waiting = [r for r in house.run_ids("packets") if r not in done]
     if waiting:
-        house.replace(
-            "sessions",
-            session_ops.upsert_sessions(
-                house.read("sessions", SESSIONS_SCHEMA),
-                session_ops.build_sessions(_packets_to_scan(house, waiting), idle_seconds),
-            ),
-            waiting,
+        new = store_stage(
+            session_ops.build_sessions(_packets_to_scan(house, waiting), idle_seconds), "new-sessions"
+        )
+        # Only the stored sessions that the new ones meet are read and written.
+        changed = session_ops.upsert_sessions(
+            house.matching("sessions", new, SESSIONS_SCHEMA), new, house.keyed("sessions").last_id
         )
+        _merge(house, "sessions", SESSION_KEY, changed, "session_id", waiting)
         _write_links(house, waiting, idle_seconds)
     return finished + len(waiting)
 
 
+def _merge(
+    house: Warehouse, table: str, key: list[str], rows: DataFrame, id_column: str | None = None,
+    runs: list[int] | None = None,
+) -> DataFrame:
+    """Commit changed rows; the note keeps the highest id, so that no later job
+    looks for it."""
+    stored = store_stage(rows, f"changed-{table}")
+    last_id = stored.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0] if id_column else 0
+    merged = house.merge(table, key, stored, runs, last_id)
+    drop_stages(stored)
+    return merged
+
+
+def compact(house: Warehouse, most: int = MOST_COMMITS) -> dict[str, list[int]]:
+    """Rewrite the buckets of the keyed tables that many jobs changed, and
+    delete what no reader needs; returns the buckets by table. Predictions that
+    wait for their alerts are raised first."""
+    raise_alerts(house)
+    done = {}
+    for table in KEYED:
+        if house.exists(f"{table}_commits"):
+            stored = house.keyed(table)
+            done[table] = stored.compact(most)
+            stored.vacuum(keep=1)
+    return done
+
+
 def _packets_to_scan(house: Warehouse, runs: list[int]) -> DataFrame:
     packets = house.read_runs("packets", PACKET_TABLE_SCHEMA).filter(F.col("run_id").isin(runs))
     return session_ops.scan_unsessionized(packets)
@@ -179,8 +219,9 @@ def _write_links(house: Warehouse, runs: list[int], idle_seconds: float) -> None
 
 
 def linked_packets(house: Warehouse) -> DataFrame:
-    """The packet table with session ids."""
+    """The packet table with session ids; null for packets of deleted sessions."""
     links = house.read_runs("links", LINKS_SCHEMA).select("packet_id", "run_id", "session_id")
+    links = links.join(house.read("sessions", SESSIONS_SCHEMA).select("session_id"), "session_id", "left_semi")
     return house.read_runs("packets", PACKET_TABLE_SCHEMA).drop("session_id").join(
         links, ["packet_id", "run_id"], "left"
     )
@@ -209,16 +250,18 @@ def compute_features(house: Warehouse) -> DataFrame:
     ]
     stored = store_stage(packets.select(*kept), "to-extract")
     new = feature_ops.extract_features(waiting, stored)
-    return house.replace(
-        "session_features", feature_ops.upsert_features(features, new, _now())
+    known = house.matching("session_features", waiting, FEATURES_SCHEMA)
+    return _merge(
+        house, "session_features", FEATURE_KEY, feature_ops.upsert_features(known, new, _now())
     )
 
 
 def load_labels(house: Warehouse, raw_labels: DataFrame) -> DataFrame:
-    features = house.read("session_features")
-    return house.replace(
-        "session_features",
-        label_ops.apply_labels(features, raw_labels, attack_labels(house.spark)),
+    """Labels of the sessions in ``raw_labels``; other rows are not touched."""
+    known = house.matching("session_features", raw_labels, FEATURES_SCHEMA)
+    return _merge(
+        house, "session_features", FEATURE_KEY,
+        label_ops.apply_labels(known, raw_labels, attack_labels(house.spark)),
     )
 
 
@@ -226,32 +269,86 @@ def score(house: Warehouse, model: model_ops.DetectionModel) -> DataFrame:
     """Score what ``model`` has not scored, then raise the alerts that are
     due; returns the predictions table."""
     labels = attack_labels(house.spark)
-    old = house.read("predictions", PREDICTIONS_SCHEMA)
+    scored = house.read("predictions", PREDICTIONS_SCHEMA)
     new = store_stage(
-        model_ops.batch_score(house.read("session_features"), old, labels, model, _now()),
+        model_ops.batch_score(house.read("session_features"), scored, labels, model, _now()),
         "scored",
     )
-    merged = house.replace(
-        "predictions", model_ops.number_predictions(model_ops.upsert_predictions(old, new))
+    changed = model_ops.number_predictions(
+        model_ops.upsert_predictions(house.matching("predictions", new, PREDICTIONS_SCHEMA), new),
+        house.keyed("predictions").last_id,
     )
-    # Not the new predictions but those without an alert: a job that ended
-    # before the alerts leaves them to the next one.
-    raised = house.read("alerts", ALERTS_SCHEMA).filter(
-        F.col("rule_name") == alert_ops.PREDICTION_RULE
-    )
-    raise_alerts(house, merged.join(raised.select("prediction_id"), "prediction_id", "left_anti"))
+    merged = _merge(house, "predictions", PREDICTION_KEY, changed, "prediction_id")
+    raise_alerts(house)
     return merged
 
 
-def raise_alerts(house: Warehouse, inserted: DataFrame) -> DataFrame:
-    old = house.read("alerts", ALERTS_SCHEMA)
-    last_id = old.agg(F.coalesce(F.max("alert_id"), F.lit(0)).alias("m")).first().m
-    new = alert_ops.alerts_from_predictions(inserted, attack_labels(house.spark), _now())
+def raise_alerts(house: Warehouse) -> DataFrame:
+    """Alerts of the prediction commits that have none yet; returns the alerts.
+
+    A commit of alerts notes the commits of predictions it took in. So a job
+    that ended before the alerts leaves them to the next one, and only
+    predictions that changed are read. A prediction keeps its alert: rescored
+    ones that have one get no second.
+    """
+    predictions = house.keyed("predictions")
+    taken = house.keyed("alerts").all_runs()
+    # Compaction writes rows again that others wrote before.
+    waiting = [n.commit for n in predictions.notes if n.commit not in taken and not n.rewritten]
+    inserted = predictions.read_commits(waiting)
+    if inserted is None:
+        return house.read("alerts", ALERTS_SCHEMA)
+    due = store_stage(
+        alert_ops.alerts_from_predictions(inserted, attack_labels(house.spark), _now()), "due-alerts"
+    )
+    raised = house.read("alerts", ALERTS_SCHEMA).filter(
+        F.col("rule_name") == alert_ops.PREDICTION_RULE
+    )
+    due = due.dropDuplicates(["prediction_id"]).join(
+        raised.select("prediction_id"), "prediction_id", "left_anti"
+    )
     digest = F.md5(F.col("prediction_id").cast("string"))
     numbered = (
-        hashed_row_number(new, [], digest, "_rank")
-        .withColumn("alert_id", (F.col("_rank") + last_id).cast("bigint"))
+        hashed_row_number(due, [], digest, "_rank")
+        .withColumn("alert_id", (F.col("_rank") + house.keyed("alerts").last_id).cast("bigint"))
         .withColumn("acknowledged_at", F.lit(None).cast("timestamp"))
         .select(*ALERTS_SCHEMA.fieldNames())
     )
-    return house.replace("alerts", old.unionByName(numbered))
+    return _merge(house, "alerts", ALERT_KEY, numbered, "alert_id", waiting)
+
+
+def update_alerts(house: Warehouse, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """Status updates of stored alerts; only these alerts are read and written."""
+    known = house.matching("alerts", updates, ALERTS_SCHEMA)
+    return _merge(house, "alerts", ALERT_KEY, alert_ops.update_alert_status(known, updates, _now(), order))
+
+
+def delete_sessions(house: Warehouse, session_ids: DataFrame) -> None:
+    """Delete sessions with their features, predictions and alerts; their
+    packets stay, unlinked. Of each table only the rows that go are rewritten,
+    as deletion marks; the table of links, which has no key, loses them when it
+    is read (see ``linked_packets``)."""
+    gone = store_stage(session_ids.select("session_id").distinct(), "gone-sessions")
+    for table in ("alerts", "predictions", "session_features", "sessions"):
+        if house.exists(f"{table}_commits"):
+            stored = house.keyed(table)
+            rows = stored.read()
+            if rows is not None:
+                stored.delete(rows.join(gone, "session_id", "left_semi").select(*stored.key))
+
+
+def expire(house: Warehouse, now: Column, staging_days: int = STAGING_DAYS, run_days: int = RUN_DAYS) -> dict:
+    """Drop staged rows of successful runs that finished ``staging_days`` ago,
+    and runs with their staged rows after ``run_days``. Only the audit rows are
+    read, one for each run; returns the dropped runs by table."""
+    runs = ingestion_runs(house)
+    old_runs = [r.run_id for r in expired_runs(runs, now, run_days).collect()]
+    old_staging = [r.run_id for r in expired_staging_runs(runs, now, staging_days).collect()]
+    staged = {
+        int(name.removeprefix("run_id=")) for name in house.children("staging") if name.startswith("run_id=")
+    }
+    # Staged rows first: while the audit row is there, a job that ended here is repeated.
+    return {
+        "staging": house.drop_runs("staging", sorted(staged & {*old_staging, *old_runs})),
+        "ingestion_runs": house.drop_runs("ingestion_runs", old_runs),
+    }

@@ -1,8 +1,10 @@
 """Where the batch job keeps its tables.
 
 Packet-sized tables only ever grow by one folder per ingestion run, which a
-retry overwrites. Smaller tables are rewritten as a new version next to the
-old one, so no job overwrites what it reads.
+retry overwrites; a run that expires gets a tombstone, then its folder goes.
+Tables with a key (sessions, features, predictions, alerts) take increments as
+commits by bucket, see ``keyed``. Small tables may be rewritten as a new version
+next to the old one, so no job overwrites what it reads.
 """
 
 from __future__ import annotations
@@ -10,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from packetlake.plans.keyed import KeyedTable, nullable
+
+DROPPED = "_dropped"
 VERSION = "version="
 
 
@@ -21,16 +26,24 @@ class Warehouse:
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
-    def _children(self, table: str) -> list[str]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _place(self, name: str):
+        """The file system and path of a folder of the warehouse."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def children(self, table: str) -> list[str]:
+        fs, root = self._place(table)
         if not fs.exists(root):
             return []
         return [status.getPath().getName() for status in fs.listStatus(root)]
 
+    def remove(self, name: str) -> bool:
+        """Delete a folder; false where there is none."""
+        fs, path = self._place(name)
+        return bool(fs.delete(path, True))
+
     def exists(self, table: str) -> bool:
-        return any(not name.startswith(("_", ".")) for name in self._children(table))
+        return any(not name.startswith(("_", ".")) for name in self.children(table))
 
     # --- grown by run ---
 
@@ -41,28 +54,72 @@ class Warehouse:
         writer.parquet(f"{self.path(table)}/run_id={run_id}")
 
     def read_runs(self, table: str, schema: T.StructType | None = None) -> DataFrame:
-        if schema is None:
-            return self.spark.read.parquet(self.path(table))
-        if not self.exists(table):
+        """All runs of a table but those with a tombstone, whose files are not
+        even listed."""
+        if schema is not None and not self.exists(table):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table))
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        dropped = self.dropped_runs(table)
+        if not dropped:
+            return reader.parquet(self.path(table))
+        kept = [
+            name for name in self.children(table)
+            if name.startswith("run_id=") and int(name.removeprefix("run_id=")) not in dropped
+        ]
+        if not kept and schema is not None:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path(table)}/{name}" for name in kept]
+        return reader.option("basePath", self.path(table)).parquet(*paths)
 
     def run_ids(self, table: str) -> list[int]:
-        """Runs whose folder was written to the end."""
+        """Runs whose folder was written to the end, without dropped ones."""
+        dropped = self.dropped_runs(table)
         return sorted(
-            int(name.removeprefix("run_id="))
-            for name in self._children(table)
-            if name.startswith("run_id=") and "_SUCCESS" in self._children(f"{table}/{name}")
+            run for name in self.children(table)
+            if name.startswith("run_id=") and (run := int(name.removeprefix("run_id="))) not in dropped
+            and "_SUCCESS" in self.children(f"{table}/{name}")
         )
 
+    def dropped_runs(self, table: str) -> set[int]:
+        return {int(name) for name in self.children(f"{table}/{DROPPED}") if name.isdigit()}
+
+    def drop_runs(self, table: str, runs: list[int]) -> list[int]:
+        """Take runs out of a table without reading it: first a tombstone each,
+        by which readers leave them out, then their folders. Ended in between,
+        the next call deletes what is left. Returns the runs whose folder went."""
+        for run in runs:
+            fs, stone = self._place(f"{table}/{DROPPED}/{run}")
+            fs.create(stone, True).close()
+        return [
+            run for run in sorted(self.dropped_runs(table)) if self.remove(f"{table}/run_id={run}")
+        ]
+
+    # --- changed by key ---
+
+    def keyed(self, table: str, key: list[str] | None = None) -> KeyedTable:
+        return KeyedTable(self, table, key)
+
+    def merge(
+        self, table: str, key: list[str], rows: DataFrame, runs: list[int] | None = None, last_id: int = 0
+    ) -> DataFrame:
+        """Store the new state of the keys in ``rows``; returns the table."""
+        stored = self.keyed(table, key)
+        stored.commit(rows, runs, last_id)
+        return self.read(table, rows.schema)
+
+    def matching(self, table: str, keys: DataFrame, schema: T.StructType) -> DataFrame:
+        """The stored rows of some keys, none where the table is not there yet."""
+        rows = self.keyed(table).matching(keys) if KeyedTable.known(self, table) else None
+        return self.spark.createDataFrame([], nullable(schema)) if rows is None else rows
+
     # --- replaced by version ---
 
     def _latest(self, table: str) -> int:
         versions = [
             int(name.removeprefix(VERSION))
-            for name in self._children(table)
+            for name in self.children(table)
             if name.startswith(VERSION)
-            and "_SUCCESS" in self._children(f"{table}/{name}")
+            and "_SUCCESS" in self.children(f"{table}/{name}")
         ]
         return max(versions, default=0)
 
@@ -78,13 +135,18 @@ class Warehouse:
         return self.spark.read.parquet(target)
 
     def newest_runs(self, table: str) -> list[int]:
-        """The runs that the latest version took in."""
+        """The runs that the latest version or commit took in."""
+        if KeyedTable.known(self, table):
+            return self.keyed(table).newest_runs()
         name = f"{VERSION}{self._latest(table)}"
-        if name not in self._children(f"{table}_runs"):
+        if name not in self.children(f"{table}_runs"):
             return []
         return sorted(row.run_id for row in self.spark.read.parquet(f"{self.path(table)}_runs/{name}").collect())
 
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
+        if KeyedTable.known(self, table):
+            rows = self.keyed(table).read()
+            return self.spark.createDataFrame([], nullable(schema)) if rows is None and schema else rows
         latest = self._latest(table)
         if latest == 0 and schema is not None:
             return self.spark.createDataFrame([], schema)

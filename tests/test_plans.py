@@ -90,7 +90,7 @@ def test_sessionize_again_after_a_failed_write(spark, tmp_path, monkeypatch, fai
                 return kind(self, table, *rest, **named)
 
             with monkeypatch.context() as patch:
-                for method in ("write_run", "replace"):
+                for method in ("write_run", "merge"):
                     kind = getattr(Warehouse, method)
                     patch.setattr(Warehouse, method, lambda *a, kind=kind, **k: fails(*a, kind=kind, **k))
                 with pytest.raises(OSError):

@@ -146,12 +146,14 @@ def sessionize(house: Warehouse, idle_seconds: float = session_ops.IDLE_SECONDS)
     took in: where a job ended between sessions and links, the next one writes
     the links of those runs and does not add them again.
     """
-    done = set(house.run_ids("links"))
-    unlinked = house.newest_runs("sessions")
-    finished = len(set(unlinked) - done)
-    if finished:
-        _write_links(house, unlinked, idle_seconds)
-        done |= set(unlinked)
+    done, finished = set(house.run_ids("links")), 0
+    for note in house.keyed("sessions").notes:
+        # Commits of live batches have negative numbers and no packets of runs.
+        unlinked = [run for run in note.runs if run >= 0]
+        if not done.issuperset(unlinked):
+            finished += len(set(unlinked) - done)
+            _write_links(house, unlinked, idle_seconds)
+            done |= set(unlinked)
     waiting = [r for r in house.run_ids("packets") if r not in done]
     if waiting:
         new = store_stage(
@@ -161,12 +163,12 @@ def sessionize(house: Warehouse, idle_seconds: float = session_ops.IDLE_SECONDS)
         changed = session_ops.upsert_sessions(
             house.matching("sessions", new, SESSIONS_SCHEMA), new, house.keyed("sessions").last_id
         )
-        _merge(house, "sessions", SESSION_KEY, changed, "session_id", waiting)
+        merge_changed(house, "sessions", SESSION_KEY, changed, "session_id", waiting)
         _write_links(house, waiting, idle_seconds)
     return finished + len(waiting)
 
 
-def _merge(
+def merge_changed(
     house: Warehouse, table: str, key: list[str], rows: DataFrame, id_column: str | None = None,
     runs: list[int] | None = None,
 ) -> DataFrame:
@@ -251,7 +253,7 @@ def compute_features(house: Warehouse) -> DataFrame:
     stored = store_stage(packets.select(*kept), "to-extract")
     new = feature_ops.extract_features(waiting, stored)
     known = house.matching("session_features", waiting, FEATURES_SCHEMA)
-    return _merge(
+    return merge_changed(
         house, "session_features", FEATURE_KEY, feature_ops.upsert_features(known, new, _now())
     )
 
@@ -259,7 +261,7 @@ def compute_features(house: Warehouse) -> DataFrame:
 def load_labels(house: Warehouse, raw_labels: DataFrame) -> DataFrame:
     """Labels of the sessions in ``raw_labels``; other rows are not touched."""
     known = house.matching("session_features", raw_labels, FEATURES_SCHEMA)
-    return _merge(
+    return merge_changed(
         house, "session_features", FEATURE_KEY,
         label_ops.apply_labels(known, raw_labels, attack_labels(house.spark)),
     )
@@ -278,7 +280,7 @@ def score(house: Warehouse, model: model_ops.DetectionModel) -> DataFrame:
         model_ops.upsert_predictions(house.matching("predictions", new, PREDICTIONS_SCHEMA), new),
         house.keyed("predictions").last_id,
     )
-    merged = _merge(house, "predictions", PREDICTION_KEY, changed, "prediction_id")
+    merged = merge_changed(house, "predictions", PREDICTION_KEY, changed, "prediction_id")
     raise_alerts(house)
     return merged
 
@@ -294,7 +296,11 @@ def raise_alerts(house: Warehouse) -> DataFrame:
     predictions = house.keyed("predictions")
     taken = house.keyed("alerts").all_runs()
     # Compaction writes rows again that others wrote before.
-    waiting = [n.commit for n in predictions.notes if n.commit not in taken and not n.rewritten]
+    # Live batches raise their own.
+    waiting = [
+        n.commit for n in predictions.notes
+        if n.commit not in taken and not n.rewritten and not any(run < 0 for run in n.runs)
+    ]
     inserted = predictions.read_commits(waiting)
     if inserted is None:
         return house.read("alerts", ALERTS_SCHEMA)
@@ -314,13 +320,13 @@ def raise_alerts(house: Warehouse) -> DataFrame:
         .withColumn("acknowledged_at", F.lit(None).cast("timestamp"))
         .select(*ALERTS_SCHEMA.fieldNames())
     )
-    return _merge(house, "alerts", ALERT_KEY, numbered, "alert_id", waiting)
+    return merge_changed(house, "alerts", ALERT_KEY, numbered, "alert_id", waiting)
 
 
 def update_alerts(house: Warehouse, updates: DataFrame, order: str | None = None) -> DataFrame:
     """Status updates of stored alerts; only these alerts are read and written."""
     known = house.matching("alerts", updates, ALERTS_SCHEMA)
-    return _merge(house, "alerts", ALERT_KEY, alert_ops.update_alert_status(known, updates, _now(), order))
+    return merge_changed(house, "alerts", ALERT_KEY, alert_ops.update_alert_status(known, updates, _now(), order))
 
 
 def delete_sessions(house: Warehouse, session_ids: DataFrame) -> None:

@@ -74,9 +74,6 @@ class KeyedTable:
     def last_id(self) -> int:
         return max((note.last_id for note in self.notes), default=0)
 
-    def newest_runs(self) -> list[int]:
-        return sorted(self.notes[-1].runs) if self.notes else []
-
     def all_runs(self) -> set[int]:
         return {run for note in self.notes for run in note.runs}
 
@@ -167,13 +164,13 @@ class KeyedTable:
         """Mark the keys deleted that are there."""
         rows = self.matching(keys)
         if rows is not None:
-            self.commit(rows.withColumn(DELETED, F.lit(True)), self.newest_runs())
+            self.commit(rows.withColumn(DELETED, F.lit(True)))
 
     def compact(self, most: int = MOST_COMMITS) -> list[int]:
         """Rewrite the buckets with more than ``most`` commits; returns them."""
         full = sorted(b for b, commits in self.live().items() if len(commits) > most)
         if full:
-            self.commit(self.read(full), self.newest_runs(), rewritten=full)
+            self.commit(self.read(full), rewritten=full)
         return full
 
     def vacuum(self, keep: int = 0) -> int:
@@ -185,6 +182,13 @@ class KeyedTable:
         removed = 0
         for commit, bucket in gone:
             removed += self.house.remove(f"{self.name}/{COMMIT}{commit}/{BUCKET}{bucket}")
+        # Of the live batches, of which there is one every few seconds, only the
+        # newest one's note has to stay.
+        batches = [n for n in self.notes if n.runs and max(n.runs) < 0]
+        for note in batches[:-1]:
+            if not any((note.commit, b) in live for b in note.buckets):
+                self.house.remove(f"{self.name}_commits/{COMMIT}{note.commit}")
+                self.notes.remove(note)
         return removed
 
 

@@ -123,26 +123,12 @@ class Warehouse:
         ]
         return max(versions, default=0)
 
-    def replace(self, table: str, df: DataFrame, runs: list[int] | None = None) -> DataFrame:
-        """Publish a new version. ``runs`` notes the runs that it takes in; the
-        note is written first and counts only once the version is there."""
-        name = f"{VERSION}{self._latest(table) + 1}"
-        if runs is not None:
-            noted = self.spark.createDataFrame([(run,) for run in runs], "run_id int")
-            noted.write.mode("overwrite").parquet(f"{self.path(table)}_runs/{name}")
-        target = f"{self.path(table)}/{name}"
+    def replace(self, table: str, df: DataFrame) -> DataFrame:
+        """Publish a new version of a small table."""
+        target = f"{self.path(table)}/{VERSION}{self._latest(table) + 1}"
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.parquet(target)
 
-    def newest_runs(self, table: str) -> list[int]:
-        """The runs that the latest version or commit took in."""
-        if KeyedTable.known(self, table):
-            return self.keyed(table).newest_runs()
-        name = f"{VERSION}{self._latest(table)}"
-        if name not in self.children(f"{table}_runs"):
-            return []
-        return sorted(row.run_id for row in self.spark.read.parquet(f"{self.path(table)}_runs/{name}").collect())
-
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
         if KeyedTable.known(self, table):
             rows = self.keyed(table).read()

@@ -119,7 +119,17 @@ def _(t):
     return drain(t, XT.stream_traffic_trends(replay(t)), "trends")
 
 
-@query("stream_active_flows")
+@query("stream_active_flows", with_tables("packets", """
+SELECT as_of, count(*) AS active_sessions FROM (
+  SELECT DISTINCT src_ip, dst_ip, unnest(range(second, second + 120 * 1000000, 1000000)) AS as_of FROM (
+    SELECT DISTINCT src_ip, dst_ip, epoch_us(date_trunc('second', captured_at)) + 1000000 AS second FROM packets))
+GROUP BY as_of"""))
+def _(t):
+    steps = drain(t, XT.stream_flow_steps(replay(t)), "flow-steps")
+    return XT.active_flows(steps)
+
+
+@query("stream_active_flows_sketch")
 def _(t):
     return drain(t, XT.stream_active_flows(replay(t)), "flows")
 

@@ -1,3 +1,4 @@
+import datetime
 import json
 import math
 
@@ -278,3 +279,26 @@ def test_minutes_rates_and_active_flows(spark, tmp_path):
             assert out.agg(F.max("active_sessions")).first()[0] == 3
             # 100 s of traffic stay visible for two minutes.
             assert out.count() == 219
+
+
+def test_active_flows_are_exact_for_any_cut(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [
+        packet(i, round(rng.uniform(0, 900), 1), src=f"10.0.0.{rng.choice([1, 1, 2, 3, 4, 5])}")
+        for i in range(60)
+    ]
+    mixed = sorted(rows, key=lambda r: r[1].timestamp() + rng.uniform(0, 9))
+    replay = Replay(spark, tmp_path, XT.stream_flow_steps)
+    for at in range(0, 60, 25):
+        replay.feed(mixed[at:at + 25])
+        replay.drain()
+    replay.feed([FAR])
+    got = {r.as_of: r.active_sessions for r in XT.active_flows(replay.drain()).collect()}
+    want = {}
+    for _, at, src, *_ in rows:
+        second = at.replace(microsecond=0) + datetime.timedelta(seconds=1)
+        for k in range(120):
+            want.setdefault(second + datetime.timedelta(seconds=k), set()).add(src)
+    assert got == {at: len(sources) for at, sources in want.items()}

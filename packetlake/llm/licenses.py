@@ -16,19 +16,25 @@ from packetlake.llm.common import whole_text
 
 # Steps of the canonical form, as (pattern, replacement), applied
 # in this order to the lower-cased text.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+# A line is a copyright statement if the word or sign is followed by a sign, a
+# year, a placeholder, "by" or "the". Terms that begin a line with the word, as
+# they do when wrapped, are none.
+COPYRIGHT_LINE = (
+    r"(^|\n)[^a-z0-9\n]*((copyright|©)[^a-z0-9<\[{\n]*(\(c\)|©|[0-9]{4}|[<\[{]|by |the )"
+    r"|\(c\)[^a-z0-9<\[{\n]*([0-9]{4}|[<\[{])|©)[^\n]*"
+)
 CANONICAL_STEPS = (
     (COPYRIGHT_LINE, r"\1"),
-    (r"all rights reserved\.?", " "),
+    (r"all[^a-z0-9]+rights[^a-z0-9]+reserved\.?", " "),
     (r"https://", "http://"),
     (r"licence", "license"),
     (r"sub-license", "sublicense"),
     (r"non-infringement", "noninfringement"),
     (r"merchantibility", "merchantability"),
     (r"acknowledgment", "acknowledgement"),
-    (r"copyright owner", "copyright holder"),
+    (r"copyright[^a-z0-9]+owner", "copyright holder"),
     (r"whilst", "while"),
-    (r"per cent", "percent"),
+    (r"per[^a-z0-9]+cent", "percent"),
     (r"[^a-z0-9\n]+", " "),
 )
 
@@ -180,7 +186,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     known licence it belongs to, null if none. ``n_notices`` counts the lines
     that are known notices, ``notices`` lists their licences, sorted and
     comma-joined, empty if none. A null text is an empty one, with the digest
-    of the empty form and no licence. Null ids and repeated rows stay; other
+    of the empty form and no licence. How lines are wrapped does not change the
+    digest. Texts are of any length. Null ids and repeated rows stay; other
     columns are not looked at; an empty table gives none.
     """
     lines = docs.select(

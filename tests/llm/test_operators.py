@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from math import comb
@@ -571,6 +572,20 @@ def test_license_texts_and_notices(spark):
     assert rows_of(licenses.scan_licenses(docs.limit(0), licenses.known_digests(spark))) == []
 
 
+def test_licenses_however_they_are_wrapped(spark):
+    texts = [(name, text) for name, text in licenses.KNOWN_TEXTS if len(text) > 300]
+    head = ["", "Copyright (c) 2019-2021 Jane Doe\n\n", "Copyright © Acme\nAll rights\nreserved.\n",
+            "(c) 2020 Jane\n", "Copyright <YEAR> <HOLDER>\n", "Copyright The Acme Authors\n"]
+    rows = [
+        (10 * k + j, head[j] + textwrap.fill(text, width, break_long_words=False), name)
+        for k, (name, text) in enumerate(texts) for j, width in enumerate((40, 60, 72, 80, 33, 20))
+    ]
+    docs = spark.createDataFrame([row[:2] for row in rows], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()}
+    assert len(texts) > 3
+    assert found == {row[0]: row[2] for row in rows}
+
+
 # --- 10 ----------------------------------------------------------------------
 
 

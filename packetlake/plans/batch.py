@@ -16,13 +16,14 @@ from packetlake.operators import labels as label_ops
 from packetlake.operators import models as model_ops
 from packetlake.operators import sessions as session_ops
 from packetlake.operators.cleaning import check_packets, strict_gate
-from packetlake.operators.ingest import dedup_insert, ingestion_run_row
+from packetlake.operators.ingest import PACKET_KEY, dedup_insert, ingestion_run_row
 from packetlake.operators.retention import (
     RUN_DAYS,
     STAGING_DAYS,
     expired_runs,
     expired_staging_runs,
 )
+from packetlake.plans import membership
 from packetlake.plans.keyed import MOST_COMMITS
 from packetlake.plans.warehouse import Warehouse
 from packetlake.schemas import (
@@ -74,16 +75,29 @@ def _now() -> Column:
     return F.lit(datetime.datetime.now(datetime.timezone.utc))
 
 
-def _existing_keys(house: Warehouse, valid: DataFrame) -> DataFrame:
-    """Keys of stored packets whose capture date the new rows can meet; other
-    dates are pruned."""
-    stored = house.read_runs("packets", PACKET_TABLE_SCHEMA)
+def _existing_keys(house: Warehouse, valid: DataFrame, run_id: int) -> DataFrame:
+    """Keys of stored packets of other runs that the new rows may repeat.
+
+    Other capture dates are pruned. Of runs with a stored filter only keys count
+    that a new row may have by the filters; where there is none such, as in a
+    file of new packets, these runs' packets are not read at all.
+    """
+    stored = house.read_runs("packets", PACKET_TABLE_SCHEMA).filter(F.col("run_id") != run_id)
     span = valid.agg(
         F.to_date(F.min("captured_at")).alias("low"), F.to_date(F.max("captured_at")).alias("high")
     ).first()
     if span.low is None:
-        return stored.limit(0)
-    return stored.filter(F.col("capture_date").between(span.low, span.high))
+        return stored.select(*PACKET_KEY).limit(0)
+    stored = stored.filter(F.col("capture_date").between(span.low, span.high))
+    filtered = [run for run in house.run_ids(membership.FILTERS) if run != run_id]
+    plain = stored.filter(~F.col("run_id").isin(filtered)).select(*PACKET_KEY)
+    if not filtered:
+        return plain
+    suspects = store_stage(membership.may_be_known(house, valid, "staged_id", run_id), "suspects")
+    if suspects.isEmpty():
+        return plain
+    seen = stored.filter(F.col("run_id").isin(filtered)).select(*PACKET_KEY)
+    return plain.unionByName(seen.join(suspects.select(*PACKET_KEY).distinct(), PACKET_KEY, "left_semi"))
 
 
 def ingest(
@@ -103,8 +117,9 @@ def ingest(
     try:
         house.write_run("staging", checked, run_id)
         valid = checked.filter("is_valid")
-        others = _existing_keys(house, valid).filter(F.col("run_id") != run_id)
-        fresh = dedup_insert(valid, others, "staged_id")
+        # A filter of an earlier attempt no longer fits.
+        house.remove(f"{membership.FILTERS}/run_id={run_id}")
+        fresh = dedup_insert(valid, _existing_keys(house, valid, run_id), "staged_id")
         last_id = house.read_runs("packets", PACKET_TABLE_SCHEMA).filter(
             F.col("run_id") != run_id
         ).agg(F.coalesce(F.max("packet_id"), F.lit(0)).alias("m")).first().m
@@ -116,6 +131,7 @@ def ingest(
         )
         house.write_run("packets", inserted, run_id, "capture_date")
         written = house.read_runs("packets", PACKET_TABLE_SCHEMA).filter(F.col("run_id") == run_id)
+        membership.write_filter(house, written, run_id)
         audit = ingestion_run_row(
             checked, written, run_id, source_name, source_path, started, _now()
         )

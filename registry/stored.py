@@ -12,6 +12,7 @@ from packetlake.session import ROCKSDB_PROVIDER, STATE_STORE_CONF, shared_folder
 from packetlake.streaming import sessions as XS
 from packetlake.streaming.detect import score_closed
 from registry.base import ORACLES, query, with_tables
+from registry.ingest import INSERTED, checked
 from registry.streams import drain, replay
 from registry.traffic import AS_OF
 
@@ -167,3 +168,18 @@ def _(t):
         "flow_hash", "packet_count", "total_bytes", "predicted_label_id", "alert_type", "severity",
         *[n.alias(name) for n, name in zip(last, ("last_session", "last_prediction", "last_alert"), strict=True)],
     )
+
+
+@query("stored_dedup_insert", with_tables("cleaned packets", f"""
+SELECT epoch_us(captured_at) AS captured_at, fingerprint FROM ({INSERTED})
+WHERE (captured_at, fingerprint) NOT IN
+  (SELECT captured_at, fingerprint FROM cleaned WHERE is_valid AND protocol = 'UDP')"""))
+def _(t):
+    # A first run stores what is UDP; the second brings everything.
+    house = new_house(t)
+    udp = checked(t).filter("is_valid AND protocol = 'UDP'").select("packet_id")
+    batch.ingest(house, t.raw_packets.join(udp, "packet_id", "left_semi").drop("packet_id"), 1, "feed", "udp")
+    batch.ingest(house, t.raw_packets.drop("packet_id"), 2, "feed", "all")
+    return house.read_runs("packets", batch.PACKET_TABLE_SCHEMA).filter("run_id = 2").select(
+        "captured_at", "fingerprint"
+    )

@@ -161,24 +161,28 @@ def finish_run(runs: DataFrame, run_id: int, status: str, rows_inserted: int,
     )
 
 
-def _rule(df: DataFrame, rule: str, broken: Column) -> DataFrame:
-    return df.agg(F.count_if(broken).alias("violations")).select(
-        F.lit(rule).alias("rule"), "violations"
+def _counted(df: DataFrame, keys: list[str], broken: dict[str, Column]) -> DataFrame:
+    """Rows per key and how many of them break each rule: all that the checks of
+    a table look at, so its rows are read and shuffled once."""
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("_n"), *[F.count_if(rule).alias(name) for name, rule in broken.items()]
     )
 
 
-def _duplicates(df: DataFrame, rule: str, keys: list[str]) -> DataFrame:
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return _rule(repeated, rule, F.col("_n") > 1)
+def _totals(counted: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    one = counted.agg(*[
+        F.coalesce(total, F.lit(0)).cast("bigint").alias(name) for name, total in totals.items()
+    ])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in totals
+    ])).alias("_found")).select("_found.*")
 
 
-def _orphans(df: DataFrame, rule: str, key: str, parent: DataFrame) -> DataFrame:
+def _orphans(counted: DataFrame, rule: str, key: str, parent: DataFrame) -> DataFrame:
     # Rows per key first: a key with very many rows joins as one row.
-    per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    per_key = counted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_n").alias("_n"))
     orphans = per_key.join(parent.select(key).distinct(), key, "left_anti")
-    return orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")).select(
-        F.lit(rule).alias("rule"), "violations"
-    )
+    return _totals(orphans, {rule: F.sum("_n")})
 
 
 def constraint_violations(
@@ -186,22 +190,32 @@ def constraint_violations(
     alerts: DataFrame, runs: DataFrame, labels: DataFrame,
 ) -> DataFrame:
     """Rows (or repeated keys) that break each rule of the table definitions."""
+    repeated = F.count_if(F.col("_n") > 1)
+    packet_keys = _counted(packets, PACKET_KEY, {"bad_size": F.col("packet_size") < 0})
+    packet_sessions = _counted(packets, ["session_id"], {})
+    flows = _counted(sessions, ["flow_hash"], {"bad_end": F.col("ended_at") < F.col("started_at")})
+    scored = _counted(
+        predictions, ["session_id", "model_version"], {"bad_confidence": ~F.col("confidence").between(0, 1)}
+    )
+    coded = _counted(labels, ["label_code"], {"bad_severity": ~F.col("severity").between(1, 5)})
+    raised = _counted(alerts, ["session_id", "prediction_id"], {
+        "bad_severity": ~F.col("severity").between(1, 5),
+        "bad_status": ~F.col("status").isin(*ALERT_STATUSES),
+    })
+    audited = _counted(runs, ["status"], {"bad_status": ~F.col("status").isin(*RUN_STATUSES)})
     checks = [
-        _rule(packets, "packet_size_not_negative", F.col("packet_size") < 0),
-        _rule(predictions, "confidence_in_unit_range", ~F.col("confidence").between(0, 1)),
-        _rule(labels, "label_severity_1_to_5", ~F.col("severity").between(1, 5)),
-        _rule(alerts, "alert_severity_1_to_5", ~F.col("severity").between(1, 5)),
-        _rule(alerts, "alert_status_known", ~F.col("status").isin(*ALERT_STATUSES)),
-        _rule(runs, "run_status_known", ~F.col("status").isin(*RUN_STATUSES)),
-        _rule(sessions, "session_ends_after_start", F.col("ended_at") < F.col("started_at")),
-        _duplicates(packets, "packet_key_unique", PACKET_KEY),
-        _duplicates(sessions, "flow_hash_unique", ["flow_hash"]),
-        _duplicates(predictions, "prediction_unique", ["session_id", "model_version"]),
-        _duplicates(labels, "label_code_unique", ["label_code"]),
-        _orphans(packets, "packet_session_exists", "session_id", sessions),
-        _orphans(predictions, "prediction_session_exists", "session_id", sessions),
-        _orphans(alerts, "alert_session_exists", "session_id", sessions),
-        _orphans(alerts, "alert_prediction_exists", "prediction_id", predictions),
+        _totals(packet_keys, {"packet_size_not_negative": F.sum("bad_size"), "packet_key_unique": repeated}),
+        _totals(scored, {"confidence_in_unit_range": F.sum("bad_confidence"), "prediction_unique": repeated}),
+        _totals(coded, {"label_severity_1_to_5": F.sum("bad_severity"), "label_code_unique": repeated}),
+        _totals(raised, {
+            "alert_severity_1_to_5": F.sum("bad_severity"), "alert_status_known": F.sum("bad_status"),
+        }),
+        _totals(audited, {"run_status_known": F.sum("bad_status")}),
+        _totals(flows, {"session_ends_after_start": F.sum("bad_end"), "flow_hash_unique": repeated}),
+        _orphans(packet_sessions, "packet_session_exists", "session_id", sessions),
+        _orphans(scored, "prediction_session_exists", "session_id", sessions),
+        _orphans(raised, "alert_session_exists", "session_id", sessions),
+        _orphans(raised, "alert_prediction_exists", "prediction_id", predictions),
     ]
     result = checks[0]
     for check in checks[1:]:

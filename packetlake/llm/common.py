@@ -26,6 +26,18 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def worker_state(key: Any, build: Callable[[], Any]) -> Any:
     """``build()`` once per Python worker. A module of its own holds the values,
     as functions sent by value get fresh module globals for each task."""

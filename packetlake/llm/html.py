@@ -277,8 +277,9 @@ def main_text(page: str) -> str:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``; a null or empty
-    page, or one without main text, has an empty text. Null ids and addresses
-    and repeated rows stay; other columns are not looked at."""
+    page, or one without main text, has an empty text. Pages of any length are
+    read whole. Null ids and addresses and repeated rows stay; other columns are
+    not looked at; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -199,9 +199,9 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataF
     that declares another language has that one. ``kept`` is false where no
     language reaches LEAST_POSTERIOR or "no language" wins; ``language`` is then
     ``und``. A null or blank text has no language. A declared value that names
-    no language, or null, is no evidence; a null host is the empty one. Null ids
-    and repeated rows stay; ties go to the language listed first; an empty table
-    gives no rows.
+    no language, or null, is no evidence; a null host is the empty one. Texts of
+    any length are read whole. Null ids and repeated rows stay; ties go to the
+    language listed first; an empty table gives no rows.
     """
     languages = declared_languages(rows) if languages is None else languages
     classes = (*languages, UNDETERMINED)
@@ -266,7 +266,8 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataF
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents with a language, all columns as they are. Rows that share
     an id stay together: an id is rejected if all its rows are. Rows without an
-    id are kept, as no verdict can name them."""
+    id are kept, as no verdict can name them. Null and very long texts as in
+    ``identify``; an empty table gives no rows."""
     found = identify(evidence_rows(docs))
     rejected = (
         found.groupBy("doc_id").agg(F.max("kept").alias("any")).where("NOT any").select("doc_id")

@@ -150,7 +150,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     end, base, kind), start and end in code points, end exclusive, ordered by
     kind as in KINDS, then start. Of two proposals of one kind that overlap the
     base one stays. ``row`` tells repeated rows apart. A null text has no spans;
-    null ids stay; other columns are not looked at.
+    null ids stay; other columns are not looked at. Texts of any length are
+    searched whole; an empty table gives no rows.
     """
     text = F.col("text")
     picked = docs.select(
@@ -287,7 +288,10 @@ def mask(text: Column, proposal: Proposal) -> Column:
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with confirmed personal data in ``text`` replaced by its kind in
-    brackets, all other columns as they are. Null texts stay null."""
+    brackets, all other columns as they are, whatever their names. Null texts
+    stay null and empty ones empty; texts of any length are masked whole; of
+    overlapping spans the one masked first wins; repeated rows are masked alike;
+    an empty table gives no rows."""
     for k in MASK_ORDER:
         docs = docs.withColumn("text", mask(F.col("text"), PROPOSALS[k]))
     return docs

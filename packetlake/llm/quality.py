@@ -304,7 +304,8 @@ def judge(
     """(doc_id, MEASURES, base_failed, kept, stratum, rejected_by) of every
     document. Null texts have no words and fail the fixed rules; a null lang is
     a stratum of its own; repeated rows are judged alike; without labels only
-    the fixed rules reject; other columns are not looked at."""
+    the fixed rules reject; texts of any length are measured whole; an empty
+    table gives no rows; other columns are not looked at."""
     measured = store_stage(narrow(docs), "measures")
     cutoffs = certified(measured, labels, false_rejections_allowed, error)
     m = F.col("m")
@@ -319,8 +320,9 @@ def judge(
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the fixed rules and the jointly certified cut-offs
-    keep, with all their columns. The texts stay
-    where they are: they are measured once for the labelled documents, and
+    keep, with all their columns. Null texts fail the fixed rules; repeated rows
+    are judged alike; an empty table gives no rows. Whole texts, however long,
+    stay where they are: they are measured once for the labelled documents, and
     again while they are filtered."""
     labelled = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     counts = store_stage(

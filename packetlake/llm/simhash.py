@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlake.llm.common import connected_components
+from packetlake.llm.common import connected_components, spare_names
 from packetlake.session import store_stage
 
 BITS = 64
@@ -117,7 +117,8 @@ def near_duplicates(
     """(doc_id, fingerprint bigint, component_id) for every document: the
     component is the smallest doc_id reachable over links within the radius;
     it is null where every document of a component has a null id. Wordless
-    documents share fingerprint zero and are linked like any others.
+    documents share fingerprint zero and are linked like any others. Texts of
+    any length are read whole; an empty table gives no rows.
     """
     marked = store_stage(fingerprints(docs, words), "fingerprints")
     classes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
@@ -134,14 +135,16 @@ def near_duplicates(
 def keep_one(docs: DataFrame, members: DataFrame) -> DataFrame:
     """One document of each component of ``members`` (see ``near_duplicates``),
     the one of smallest id, with all columns of ``docs``. Of repeated rows (same
-    id and text) one stays. Rows without an id stay, as nothing can name them."""
+    id and text) one stays. Rows without an id stay, as nothing can name them.
+    Columns of ``docs`` may have any names; an empty table gives no rows."""
+    kept_id, rows = spare_names(docs, "kept_id", "rows")
     kept = (
         members.where("doc_id = component_id")
-        .groupBy(F.col("doc_id").alias("__kept_id"))
-        .agg(F.count("*").alias("__rows"))
+        .groupBy(F.col("doc_id").alias(kept_id))
+        .agg(F.count("*").alias(rows))
     )
-    chosen = docs.join(kept, F.col("doc_id") == F.col("__kept_id"))
-    single = chosen.where("__rows = 1").select(docs.columns)
-    again = chosen.where("__rows > 1").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    chosen = docs.join(kept, F.col("doc_id") == F.col(kept_id))
+    single = chosen.where(F.col(rows) == 1).select(docs.columns)
+    again = chosen.where(F.col(rows) > 1).dropDuplicates(["doc_id", "text"]).select(docs.columns)
     nameless = docs.where("doc_id IS NULL")
     return single.unionByName(again).unionByName(nameless)

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from packetlake.operators.anomaly import IsolationForest
+from packetlake.operators.forest import Forest, load_forest
 from packetlake.operators.models import Classifier, DetectionModel
 from packetlake.operators.training import Scaler
 from packetlake.schemas import FEATURE_COLS
@@ -20,7 +21,12 @@ def save_model(
 ) -> str:
     """Write ``folder/version`` and return its path."""
     path = f"{folder}/{model.version}"
-    model.classifier.pipeline.write().overwrite().save(f"{path}/classifier")
+    pipeline = model.classifier.pipeline
+    grown = isinstance(pipeline, Forest)
+    if grown:
+        pipeline.nodes.write.mode("overwrite").parquet(f"{path}/trees")
+    else:
+        pipeline.write().overwrite().save(f"{path}/classifier")
     model.forest.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
     metadata = {
         "version": model.version,
@@ -30,6 +36,7 @@ def save_model(
         "feature_cols": FEATURE_COLS,
         "drift_baseline": drift_baseline or {},
         "classes": model.classifier.classes,
+        "borders": pipeline.borders if grown else None,
         "scaler": {
             "mean": model.classifier.scaler.mean, "scale": model.classifier.scaler.scale,
         },
@@ -45,9 +52,12 @@ def load_model(spark: SparkSession, folder: str, version: str) -> DetectionModel
     path = f"{folder}/{version}"
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
     scaler = Scaler(metadata["scaler"]["mean"], metadata["scaler"]["scale"])
-    classifier = Classifier(
-        PipelineModel.load(f"{path}/classifier"), scaler, metadata["classes"]
-    )
+    classes, borders = metadata["classes"], metadata.get("borders")
+    if borders is None:
+        pipeline = PipelineModel.load(f"{path}/classifier")
+    else:
+        pipeline = load_forest(spark, f"{path}/trees", borders, len(classes))
+    classifier = Classifier(pipeline, scaler, classes)
     nodes = spark.read.parquet(f"{path}/forest").toPandas()  # bounded, see anomaly
     forest = IsolationForest(
         nodes, metadata["forest"]["sample_rows"], metadata["forest"]["offset"]

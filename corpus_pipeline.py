@@ -3,11 +3,14 @@ packing. Each stage calls one operator and is stored before the next reads it.""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packetlake.llm import language, packing, pii, quality, simhash, similar
-from packetlake.llm.common import read_table
+from packetlake.llm.common import connected_components, read_table
 from packetlake.session import apply_sql_defaults, drop_stages, store_stage
 
 
@@ -26,12 +29,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: word shingles of five
-    words, similarity 0.8 or more. The smallest id stays, and of repeated rows
+    """One document of each component of near copies, whose links are those of
+    SimHash fingerprints (op6's operator) and, which these mostly miss, those of
+    similarity 0.8 or more on shingles of five words. The smallest id stays, and of repeated rows
     one; null texts are alike to wordless ones; rows without an id stay; very
     long texts are compared whole; an empty table stays empty; other columns are
     kept as they are."""
-    return simhash.keep_one(docs, similar.near_copies(docs))
+    found = simhash.near_duplicates(docs), similar.near_copies(docs)
+    return simhash.keep_one(docs, merged_components(docs, *found))
+
+
+def merged_components(docs: DataFrame, *members: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of the rows of ``docs``, linked if a table of
+    ``members`` (doc_id, component_id) has them in one component. Rows without an
+    id have no component."""
+    links = [m.where("doc_id <> component_id").select(
+        F.col("doc_id").alias("a"), F.col("component_id").alias("b")
+    ) for m in members]
+    found = connected_components(reduce(DataFrame.union, links).distinct())
+    return docs.select(F.col("doc_id").cast("bigint")).join(
+        found.withColumnRenamed("node", "doc_id"), "doc_id", "left"
+    ).select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

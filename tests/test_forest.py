@@ -85,3 +85,35 @@ def test_draws_are_poisson_and_differ_by_tree():
     tried = D.tried_features(ids[1:1000], 42, 0)
     assert all(len(set(t)) == 5 for t in tried.tolist())
     assert np.ptp(np.bincount(tried.ravel(), minlength=17)) < 120
+
+
+def test_counted_and_sorted_nodes_give_the_same_cuts(monkeypatch):
+    random = np.random.default_rng(3)
+    packed = np.zeros(5000, D._ROW)
+    packed["bins"] = random.integers(0, 32, (5000, len(FEATURE_COLS)))
+    packed["label"] = (packed["bins"][:, 0] > 11) + random.integers(0, 2, 5000)
+    packed["weight"] = random.integers(1, 4, 5000)
+    grown = []
+    for cells in (0, D.DENSE_CELLS, 10**6):  # always sorted, either, always counted
+        monkeypatch.setattr(D, "DENSE_CELLS", cells)
+        grown.append(D.grow_branch(1, packed, 42, 0, 3, 20, 2).tobytes())
+    assert grown[0] == grown[1] == grown[2]
+
+
+def test_fits_are_scored_one_after_the_other(spark, monkeypatch):
+    # A worker holds the trees of one fit: those of the one before are gone.
+    held, most = set(), []
+    load = D.Forest._loaded.func
+
+    def loaded(forest):
+        trees, shares = load(forest)
+        for tree in trees:
+            held.add(tree)
+            tree.destroy = lambda t=tree, end=tree.destroy: (held.discard(t), end())
+        most.append(len(held))
+        return trees, shares
+
+    monkeypatch.setattr(D.Forest, "_loaded", property(loaded))
+    labelled = rows(spark).withColumn("label", F.col("session_id") % 2)
+    scores = D.fit_forest(labelled, 2, 4, 4, 3, 2, 42)[1]
+    assert len(scores) == 3 and most == [4, 4, 4]

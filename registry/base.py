@@ -13,7 +13,7 @@ from packetlake import schemas
 from packetlake.operators import features as feature_ops
 from packetlake.operators import labels as label_ops
 from packetlake.operators import sessions as session_ops
-from packetlake.session import apply_sql_defaults, ship_package, store_stage
+from packetlake.session import PACKET_DEFAULTS, apply_sql_defaults, drop_stages, ship_package, store_stage
 from packetlake.sources import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,17 +74,23 @@ class Tables:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return store_stage(session_ops.assign_sessions(self.packets), "assigned")
-
-    @cached_property
-    def sessions(self) -> DataFrame:
+        # What is assigned is kept by packet_id; the packets have the rest.
+        scanned = session_ops.scan_unsessionized(self.unlinked_packets())
         return store_stage(
-            session_ops.upsert_sessions(
-                self.no_sessions(), session_ops.build_sessions(self.packets)
+            session_ops.assign_sessions(scanned).select(
+                "packet_id", *session_ops.FLOW_KEY, "session_seq", "started_at", "flow_hash"
             ),
-            "sessions",
+            "assigned",
         )
 
+    @cached_property
+    def sessions(self) -> DataFrame:
+        # Numbering reads them twice.
+        built = store_stage(session_ops.build_sessions(self.packets), "built")
+        sessions = store_stage(session_ops.upsert_sessions(self.no_sessions(), built), "sessions")
+        drop_stages(built)
+        return sessions
+
     @cached_property
     def linked(self) -> DataFrame:
         return store_stage(
@@ -121,7 +127,7 @@ _TABLES: dict[tuple[str, str], Tables] = {}
 def tables(spark: SparkSession, folder: str) -> Tables:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _TABLES:
-        apply_sql_defaults(spark)
+        apply_sql_defaults(spark, **PACKET_DEFAULTS)
         ship_package()
         _TABLES[key] = Tables(spark, folder)
     return _TABLES[key]

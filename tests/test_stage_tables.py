@@ -3,9 +3,11 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from packetlake.operators import sessions as S
 from packetlake.session import PACKET_DEFAULTS
+from packetlake.sources.readers import read_packets
 from registry import base
 
 
@@ -51,3 +53,21 @@ def test_network_tables_bound_what_a_task_reads(spark, folder):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_json_files_are_dealt_to_tasks_by_size(spark, tmp_path):
+    # Three arrays of 11 MB each: with Spark's 128 MB they shared a task at 2 cores.
+    filler = "x" * 1000
+    spark.range(33_000).selectExpr("id", f"'{filler}' AS text").groupBy(
+        F.expr("id % 3").alias("bucket")
+    ).agg(F.expr("to_json(collect_list(struct(id, text)))").alias("value")).write.partitionBy(
+        "bucket"
+    ).text(f"{tmp_path}/in.json")
+    cores = "spark.sql.files.minPartitionNum"
+    try:
+        spark.conf.set(cores, "1")
+        found = read_packets(spark, f"{tmp_path}/in.json")
+        assert found.count() == 33_000 and found.schema["id"].dataType.simpleString() == "string"
+        assert found.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset(cores)

@@ -117,3 +117,69 @@ def test_fits_are_scored_one_after_the_other(spark, monkeypatch):
     labelled = rows(spark).withColumn("label", F.col("session_id") % 2)
     scores = D.fit_forest(labelled, 2, 4, 4, 3, 2, 42)[1]
     assert len(scores) == 3 and most == [4, 4, 4]
+
+
+def deep_tree(classes=5, count=20_000):
+    """The nodes of a deep tree of leaves of few rows, and the rows' bins."""
+    random = np.random.default_rng(8)
+    packed = np.zeros(count, D._ROW)
+    packed["bins"] = random.integers(0, 32, (count, len(FEATURE_COLS)))
+    packed["label"], packed["weight"] = random.integers(0, classes, count), 1
+    return D.grow_branch(1, packed, 42, 0, classes, 20, 2), packed["bins"].copy()
+
+
+def test_a_scoring_worker_holds_few_bytes_a_node():
+    # All trees of a fit are in each worker; 16 bytes a node filled executors.
+    nodes, bins = deep_tree()
+    packed = D.scoring_arrays(nodes)
+    assert len(nodes) > 5000 and sum(a.nbytes for a in packed) < 5 * len(nodes)
+    by_number = {int(n["id"]): n for n in nodes}
+    found = D.mean_shares([packed], bins[:300], 5)
+    for row, shares in zip(bins[:300], found, strict=True):
+        node = by_number[1]
+        while node["feature"] >= 0:
+            node = by_number[2 * int(node["id"]) + int(row[node["feature"]] > node["cut"])]
+        assert np.allclose(shares, node["counts"] / node["counts"].sum(), atol=1e-6)
+    same = np.zeros(3, D._ROW)
+    same["weight"] = 1
+    alone = D.grow_branch(1, same, 42, 0, 5, 20, 2)  # one leaf
+    assert D.mean_shares([D.scoring_arrays(alone)], bins[:2], 5).tolist() == [[1, 0, 0, 0, 0]] * 2
+
+
+def test_scores_do_not_depend_on_batches(spark, monkeypatch):
+    train = rows(spark).withColumn("label", F.col("session_id") % 3)
+    forest, _ = D.fit_forest(train, 3, 4, 8, 0, 2, 42)
+    scored = lambda: {r[0]: r[1] for r in train.coalesce(1).select(
+        "session_id", forest.probabilities()).collect()}
+    whole = scored()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "37")
+        for block in (1, 100, 10**6):
+            monkeypatch.setattr(D, "BLOCK_ROWS", block)
+            assert scored() == whole
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_bins_of_live_rows_stay_in_place():
+    # Copying the bins of all live rows twice a level was half of the time.
+    taken = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            taken.append(key)
+            return super().__getitem__(key)
+
+    packed = np.zeros(2000, D._ROW)
+    packed["bins"] = np.random.default_rng(4).integers(0, 32, (2000, len(FEATURE_COLS)))
+    packed["label"], packed["weight"] = packed["bins"][:, 0] % 3, 1
+
+    class Rows(dict):
+        def __len__(self):
+            return 2000
+
+    watched = Rows({name: packed[name] for name in ("label", "weight")}, bins=packed["bins"].view(Watched))
+    grown = D.grow_branch(1, watched, 42, 0, 3, 20, 2)
+    assert not taken and grown.tobytes() == D.grow_branch(1, packed, 42, 0, 3, 20, 2).tobytes()

@@ -13,7 +13,17 @@ from packetlake import schemas
 from packetlake.operators import features as feature_ops
 from packetlake.operators import labels as label_ops
 from packetlake.operators import sessions as session_ops
-from packetlake.session import PACKET_DEFAULTS, apply_sql_defaults, drop_stages, ship_package, store_stage
+from packetlake.session import (
+    EVENTS_PARTITION_BYTES,
+    FLOWS_PARTITION_BYTES,
+    PACKET_DEFAULTS,
+    apply_sql_defaults,
+    drop_stages,
+    ship_package,
+    size_shuffles,
+    store_stage,
+    stored_bytes,
+)
 from packetlake.sources import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +44,14 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return ev.read_table(self.spark, self.folder, name)
 
+    @cached_property
+    def shuffle_partitions(self) -> int:
+        """Partitions that hold a bounded share of the stored tables each."""
+        return max(
+            -(-stored_bytes(self.spark, f"{self.folder}/{name}.parquet") // size)
+            for name, size in (("events", EVENTS_PARTITION_BYTES), ("lineitem", FLOWS_PARTITION_BYTES))
+        )
+
     @cached_property
     def packets(self) -> DataFrame:
         return store_stage(ev.packets_from_events(self.table("events")), "packets")
@@ -130,6 +148,7 @@ def tables(spark: SparkSession, folder: str) -> Tables:
         apply_sql_defaults(spark, **PACKET_DEFAULTS)
         ship_package()
         _TABLES[key] = Tables(spark, folder)
+    size_shuffles(spark, _TABLES[key].shuffle_partitions)
     return _TABLES[key]
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlake.operators import sessions as S
-from packetlake.session import PACKET_DEFAULTS
+from packetlake.session import PACKET_DEFAULTS, SHUFFLE_CONF
 from packetlake.sources.readers import read_packets
 from registry import base
 
@@ -71,3 +71,24 @@ def test_json_files_are_dealt_to_tasks_by_size(spark, tmp_path):
         assert found.rdd.getNumPartitions() > 1
     finally:
         spark.conf.unset(cores)
+
+
+def test_shuffles_begin_with_partitions_for_the_size_of_the_tables(spark, folder, monkeypatch):
+    # However few the session has: partitions that grow with the input spill.
+    before = spark.conf.get(SHUFFLE_CONF, None)
+    size = base.stored_bytes(spark, f"{folder}/events.parquet")
+    assert size > 0 and base.stored_bytes(spark, f"{folder}/none.parquet") == 0
+    try:
+        monkeypatch.setattr(base, "EVENTS_PARTITION_BYTES", size // 40)
+        tables = base.tables(spark, folder)
+        wanted = -(-size // (size // 40))
+        assert int(spark.conf.get(SHUFFLE_CONF)) == wanted >= 40
+        moved = tables.packets.groupBy("packet_id").count().repartition("count")
+        assert f"hashpartitioning(packet_id#" in (plan := moved._jdf.queryExecution().toString())
+        assert f", {wanted})" in plan
+        monkeypatch.setattr(base, "_TABLES", {})
+        monkeypatch.setattr(base, "EVENTS_PARTITION_BYTES", size)
+        base.tables(spark, folder)  # a small folder afterwards: the session's own number
+        assert spark.conf.get(SHUFFLE_CONF) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        spark.conf.unset(SHUFFLE_CONF) if before is None else spark.conf.set(SHUFFLE_CONF, before)

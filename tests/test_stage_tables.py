@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packetlake.operators import sessions as S
 from packetlake.session import PACKET_DEFAULTS, SHUFFLE_CONF
 from packetlake.sources.readers import read_packets
-from registry import base
+from registry import base, sources
 
 
 @pytest.fixture
@@ -92,3 +92,18 @@ def test_shuffles_begin_with_partitions_for_the_size_of_the_tables(spark, folder
         assert spark.conf.get(SHUFFLE_CONF) == spark.conf.get("spark.sql.shuffle.partitions")
     finally:
         spark.conf.unset(SHUFFLE_CONF) if before is None else spark.conf.set(SHUFFLE_CONF, before)
+
+
+def test_flow_files_are_written_without_a_stored_table(spark, tmp_path):
+    shipped = datetime.datetime(1996, 9, 13)
+    spark.createDataFrame(
+        [(k, k % 7, k % 5, k % 7 + 1, float(k % 50 + 1), 901.5 + k, "RNA"[k % 3], "OF"[k % 2], shipped)
+         for k in range(60)],
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables = base.Tables(spark, str(tmp_path))
+    found = sources.flow_files(tables).drop("source_file")
+    assert "flow_records" not in vars(tables)
+    whole = tables.flow_records.select(found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))

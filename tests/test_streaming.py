@@ -199,6 +199,40 @@ def test_a_flow_of_many_ports_writes_only_changes():
     assert sessions.state.get() is None and not sessions.ports.values
 
 
+def test_text_gives_the_same_sessions_as_nested_rows():
+    class Handle:
+        registerTimer = deleteTimer = staticmethod(lambda timer: None)
+        getValueState = getMapState = staticmethod(lambda *_: Store())
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 10**15
+
+    def fragment(at, squares):
+        return dict.fromkeys(XS.SUMS, 0) | {
+            "first_at": at, "last_at": at, "initiator": 'a"\u00e9', "packets": 1, "gap_min": None,
+            "gap_max": None, "gap_squares": squares, "sizes": [40, 7], "size_counts": [1, 2],
+            "ports": [9, 8], "ends": False,
+        }
+
+    rows = [
+        {"slice_end": at, "fragments": [fragment(at, 10**30)]} for at in (9_000_000, 1, 4_000_000)
+    ]
+    found = []
+    for sessions, given in (
+        (XS.OnlineSessions(4.5), rows),
+        (XS.TextSessions(4.5), [{**r, "fragments": json.dumps(r["fragments"])} for r in rows]),
+    ):
+        sessions.init(Handle())
+        found.append(list(sessions.handleInputRows(("flow",) * 5, given, Clock())))
+    nested, text = found
+    assert len(nested) == 2 and [t.flow for t in text] == ["flow"] * 2
+    for plain, coded in zip(nested, text, strict=True):
+        sums = json.loads(coded.sums)
+        assert [sums[name] for name in XS.SUMS] == list(plain[len(S.FLOW_KEY):])
+        assert type(sums["gap_squares"]) is int
+
+
 def test_stream_equals_batch(spark, tmp_path):
     import random
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from packetlake.functions.ordered import exact_quantiles, hashed_row_number
 from packetlake.schemas import FEATURE_COLS
+from packetlake.session import drop_stages, store_stage
 
 # Forest parameters.
 TREES = 100
@@ -142,6 +143,11 @@ def fit_isolation_forest(
     nodes = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     used = min(sample_rows, samples.filter("tree = 0").count())
     forest = IsolationForest(nodes, used, 0.0)
-    scores = scaled.select(F.lit("score").alias("name"), forest.raw_score().alias("value"))
+    # The quantile reads the scores twice.
+    scores = store_stage(
+        scaled.select(F.lit("score").alias("name"), forest.raw_score().alias("value")),
+        "anomaly-scores",
+    )
     offset = exact_quantiles(scores, "name", "value", [contamination]).first()["quantile"]
+    drop_stages(scores)
     return IsolationForest(nodes, used, float(offset))

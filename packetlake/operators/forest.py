@@ -472,12 +472,12 @@ class Forest:
     @cached_property
     def _loaded(self) -> tuple[list, np.ndarray]:
         """A broadcast for each tree and the importance of each feature. The
-        driver holds one tree at a time."""
+        driver holds the trees of two files at a time."""
         context = self.nodes.sparkSession.sparkContext
         packed = self.packed or store_stage(packed_trees(self.nodes, self.classes), "forest-packed")
         found = [
             (row["tree"], context.broadcast(unpacked(row, self.classes)), np.array(row["gained"]))
-            for row in packed.toLocalIterator()
+            for row in packed.toLocalIterator(prefetchPartitions=True)
         ]
         if not self.packed:
             drop_stages(packed)
@@ -583,20 +583,30 @@ def fit_forest(
     borders = bin_borders(rows)
     parts = 2 * spark.sparkContext.defaultParallelism
     vectors = store_stage(binned(rows, borders, parts), "forest-rows")
+    # A folder for each fit, so that a fit is read without the others.
+    fit = F.floor(F.col("tree") / trees).cast("int").alias("fit")
     grown = store_stage(
-        grow_forest(vectors, vectors.count(), classes, trees, depth, folds, least, seed, task_rows),
-        "forest-nodes",
+        grow_forest(
+            vectors, vectors.count(), classes, trees, depth, folds, least, seed, task_rows
+        ).select("*", fit),
+        "forest-nodes", "fit",
     )
-    packed = store_stage(packed_trees(grown, classes), "forest-packed")
-    fit = F.floor(F.col("tree") / trees)
+    packed = store_stage(
+        packed_trees(grown.drop("fit"), classes).select("*", fit), "forest-packed", "fit"
+    )
+    of_fit = lambda table, k: table.filter(F.col("fit") == k).drop("fit")
     forests = [
-        Forest(grown.filter(fit == k), borders, classes, packed.filter(fit == k))
-        for k in range(folds + 1)
+        Forest(of_fit(grown, k), borders, classes, of_fit(packed, k)) for k in range(folds + 1)
     ]
     scores = fold_scores(vectors, forests[1:], seed) if folds else []
     drop_stages(vectors)
     return forests[0], scores
 
 
-def load_forest(spark: SparkSession, path: str, borders: list[list[float]], classes: int) -> Forest:
-    return Forest(spark.read.schema(GROWN).parquet(path), borders, classes)
+def load_forest(
+    spark: SparkSession, path: str, borders: list[list[float]], classes: int,
+    packed: str | None = None,
+) -> Forest:
+    """The forest stored at ``path``, its packed trees at ``packed`` if they were stored."""
+    trees = spark.read.schema(PACKED).parquet(packed) if packed else None
+    return Forest(spark.read.schema(GROWN).parquet(path), borders, classes, trees)

@@ -25,6 +25,8 @@ def save_model(
     grown = isinstance(pipeline, Forest)
     if grown:
         pipeline.nodes.write.mode("overwrite").parquet(f"{path}/trees")
+        if pipeline.packed is not None:
+            pipeline.packed.write.mode("overwrite").parquet(f"{path}/packed")
     else:
         pipeline.write().overwrite().save(f"{path}/classifier")
     model.forest.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
@@ -37,6 +39,7 @@ def save_model(
         "drift_baseline": drift_baseline or {},
         "classes": model.classifier.classes,
         "borders": pipeline.borders if grown else None,
+        "packed": grown and pipeline.packed is not None,
         "scaler": {
             "mean": model.classifier.scaler.mean, "scale": model.classifier.scaler.scale,
         },
@@ -56,7 +59,9 @@ def load_model(spark: SparkSession, folder: str, version: str) -> DetectionModel
     if borders is None:
         pipeline = PipelineModel.load(f"{path}/classifier")
     else:
-        pipeline = load_forest(spark, f"{path}/trees", borders, len(classes))
+        # Models of earlier versions are packed when they are first used.
+        packed = f"{path}/packed" if metadata.get("packed") else None
+        pipeline = load_forest(spark, f"{path}/trees", borders, len(classes), packed)
     classifier = Classifier(pipeline, scaler, classes)
     nodes = spark.read.parquet(f"{path}/forest").toPandas()  # bounded, see anomaly
     forest = IsolationForest(

@@ -91,9 +91,10 @@ UNION ALL SELECT 'predictions', session_id, count(*) FROM predictions
 UNION ALL SELECT 'alerts', session_id, count(*) FROM alerts
   WHERE session_id NOT IN (SELECT session_id FROM sessions WHERE protocol = 'ICMP') GROUP BY session_id"""))
 def _(t):
+    linked = t.linked  # first, as it stores the sessions beside other work
     ids = t.sessions.filter(F.col("protocol") == "ICMP").select("session_id")
     result = R.cascade_delete_sessions(
-        ids, t.sessions, t.linked, t.features, t.predictions, t.alerts
+        ids, t.sessions, linked, t.features, t.predictions, t.alerts
     )
     out = None
     for part, df in result._asdict().items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +112,11 @@ class Tables:
 
     @cached_property
     def linked(self) -> DataFrame:
+        self.packets  # read by both of the next, which neither keep all cores busy
+        with ThreadPoolExecutor(1) as other:
+            assigned = other.submit(lambda: self.assigned)
+            self.sessions
+            assigned.result()
         return store_stage(
             session_ops.link_packets(
                 self.unlinked_packets(),
@@ -122,9 +128,8 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        return store_stage(
-            feature_ops.extract_features(self.sessions, self.linked), "features"
-        )
+        linked = self.linked  # first, as it stores the sessions beside other work
+        return store_stage(feature_ops.extract_features(self.sessions, linked), "features")
 
     @property
     def raw_labels(self) -> DataFrame:

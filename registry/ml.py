@@ -1,6 +1,8 @@
 """Fitted models. Values depend on the learner, so their queries have no SQL
 text; what must hold for any learner is checked by the queries at the end."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from packetlake.operators import anomaly as N
@@ -50,7 +52,10 @@ class Fitted:
 
     @property
     def model(self):
-        return M.DetectionModel("v1_20240201000000", self.classifier, self.forest)
+        # Neither fit keeps all cores busy throughout.
+        with ThreadPoolExecutor(1) as other:
+            forest = other.submit(lambda: self.forest)
+            return M.DetectionModel("v1_20240201000000", self.classifier, forest.result())
 
 
 @query("fit_logistic")

@@ -4,6 +4,7 @@ split by shared counts, and scores, importances and stored models are whole."""
 import numpy as np
 from pyspark.sql import functions as F
 
+from packetlake.operators import anomaly
 from packetlake.operators import forest as D
 from packetlake.operators import models as M
 from packetlake.operators import training as T
@@ -183,3 +184,35 @@ def test_bins_of_live_rows_stay_in_place():
     watched = Rows({name: packed[name] for name in ("label", "weight")}, bins=packed["bins"].view(Watched))
     grown = D.grow_branch(1, watched, 42, 0, 3, 20, 2)
     assert not taken and grown.tobytes() == D.grow_branch(1, packed, 42, 0, 3, 20, 2).tobytes()
+
+
+def test_fits_have_folders_and_loaded_trees_are_not_packed_again(spark, tmp_path, monkeypatch):
+    train = rows(spark)
+    scaler = T.fit_scaler(train)
+    classifier = M.fit_random_forest(train, scaler, trees=4, depth=6, folds=2, ml_rows=0)
+    for table in (classifier.pipeline.nodes, classifier.pipeline.packed):
+        files = [r[0] for r in table.select(F.input_file_name()).distinct().collect()]
+        assert files and all("/fit=0/" in file for file in files)
+        assert {r["tree"] for r in table.select("tree").collect()} == {0, 1, 2, 3}
+    trees = fit_isolation_forest(scaler.apply(M.model_inputs(train)), "session_id", 3, 16)
+    save_model(spark, M.DetectionModel("v1_p", classifier, trees), str(tmp_path))
+    monkeypatch.setattr(D, "packed_trees", None)
+    loaded = load_model(spark, str(tmp_path), "v1_p").classifier
+    found = [
+        sorted(c.probabilities(train).select("session_id", "probabilities").collect())
+        for c in (classifier, loaded)
+    ]
+    assert found[0] == found[1]
+
+
+def test_the_offset_reads_stored_scores(spark, monkeypatch):
+    plans = []
+    quantiles = anomaly.exact_quantiles
+
+    def noted(scores, *rest):
+        plans.append(scores._jdf.queryExecution().optimizedPlan().toString())
+        return quantiles(scores, *rest)
+
+    monkeypatch.setattr(anomaly, "exact_quantiles", noted)
+    fit_isolation_forest(rows(spark), "session_id", 3, 16)
+    assert plans and not any("Python" in plan for plan in plans)

@@ -9,6 +9,7 @@ from math import comb
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from brute import DOCS, base_spans, components, documents, fingerprint, measures
@@ -547,6 +548,49 @@ def test_top_products_over_rounds_of_blocks(spark):
     assert Counter(rows_of(topk.top_products(df, block_rows=16))) == best_products(rows)
 
 
+def test_blocks_meet_queries_without_a_broadcast(spark, capsys):
+    # A small stored size says little about the memory of arrays of numbers.
+    v = "transform(sequence(1, 8), x -> id % x) AS v"
+    queries = spark.range(40).selectExpr("id AS row", "id AS vec_id", v, "4D AS norm", "CAST(NULL AS DOUBLE) AS bound")
+    blocks = spark.range(40).selectExpr("id AS row", "id AS vec_id", v).groupBy(
+        F.expr("INT(row % 1 + 3) AS level"), F.expr("INT(row % 2) AS block")
+    ).agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("candidates"))
+    found = topk._round(queries, blocks, [(3, 0, 1, 9.0)], 2, 5)
+    assert found.count() == 400
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("step", [1, 16])
+def test_coordinates_prune_only_what_no_query_needs(step, monkeypatch):
+    # Half the queries have a large coordinate, which leaves few candidates.
+    monkeypatch.setattr(topk, "PROBE_STEP", step)
+    draw = np.random.default_rng(6)
+    vectors = draw.integers(-20, 21, (400, 12))
+    vectors[:60:2, 0] += 300
+    vectors[60::20, 0] += 300
+
+    def block(part, start, **more):
+        values = pa.ListArray.from_arrays(np.arange(0, part.size + 1, 12, dtype=np.int32), pa.array(part.ravel()))
+        ids = pa.array(np.arange(start, start + len(part)))
+        columns = {"row": ids, "vec_id": ids, "v": values, **more}
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    asked, stored = vectors[:60], vectors[60:]
+    products = asked @ stored.T
+    bounds = np.sort(products, axis=1)[:, -5]
+    pruned = []
+    survivors = topk._survivors
+    monkeypatch.setattr(topk, "_survivors", lambda *a: pruned.append(1) or survivors(*a))
+    found = topk._score_block(block(asked, 0, bound=pa.array(bounds.astype(float))), block(stored, 60), 5).to_pylist()
+    expected = [
+        (i, 60 + int(j), int(products[i, j])) for i in range(60)
+        for j in sorted(range(len(stored)), key=lambda j: (-products[i, j], j))[:5]
+    ]
+    assert sorted((r["query_row"], r["vec_id"], r["score"]) for r in found) == sorted(expected)
+    assert 0 < len(pruned) < 60
+
+
 def test_products_beyond_64_bits_end_there(spark):
     rows = [(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0]), (3, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")

@@ -111,12 +111,17 @@ def ingest(
     """
     started = _now()
     numbered = raw.withColumn("staged_id", F.monotonically_increasing_id())
-    checked = store_stage(check_packets(numbered, "staged_id"), "checked")
+    received = house.receive_run("staging", check_packets(numbered, "staged_id"), run_id)
     if strict:
-        strict_gate(checked)
+        try:
+            strict_gate(received)
+        except ValueError:
+            house.refuse_run("staging", run_id)
+            raise
     try:
-        house.write_run("staging", checked, run_id)
-        valid = checked.filter("is_valid")
+        checked = house.accept_run("staging", run_id)
+        # Without what only staging keeps: whole rows are shuffled twice.
+        valid = checked.filter("is_valid").drop("is_valid", "validation_errors")
         # A filter of an earlier attempt no longer fits.
         house.remove(f"{membership.FILTERS}/run_id={run_id}")
         fresh = dedup_insert(valid, _existing_keys(house, valid, run_id), "staged_id")
@@ -137,7 +142,7 @@ def ingest(
         )
         house.write_run("ingestion_runs", audit, run_id)
     except Exception as problem:
-        none = checked.limit(0)
+        none = received.limit(0)
         audit = ingestion_run_row(
             none, none, run_id, source_name, source_path, started, _now(), str(problem)[:2000]
         )

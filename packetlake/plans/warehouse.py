@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from packetlake.plans.keyed import KeyedTable, nullable
+from packetlake.session import COMPRESSION
 
 DROPPED = "_dropped"
+INCOMING = "_incoming"
 VERSION = "version="
 
 
@@ -51,7 +53,24 @@ class Warehouse:
         writer = df.drop("run_id").write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.path(table)}/run_id={run_id}")
+        writer.parquet(f"{self.path(table)}/run_id={run_id}", compression=COMPRESSION)
+
+    def receive_run(self, table: str, df: DataFrame, run_id: int) -> DataFrame:
+        """Write the rows of a run where no reader of the table sees them."""
+        self.write_run(f"{table}/{INCOMING}", df, run_id)
+        return self.spark.read.parquet(f"{self.path(table)}/{INCOMING}/run_id={run_id}")
+
+    def refuse_run(self, table: str, run_id: int) -> None:
+        self.remove(f"{table}/{INCOMING}/run_id={run_id}")
+
+    def accept_run(self, table: str, run_id: int) -> DataFrame:
+        """Make received rows those of the run; they are not written again."""
+        name = f"run_id={run_id}"
+        self.remove(f"{table}/{name}")
+        (fs, received), (_, place) = self._place(f"{table}/{INCOMING}/{name}"), self._place(f"{table}/{name}")
+        if not fs.rename(received, place):
+            raise OSError(f"cannot move {received} to {place}")
+        return self.spark.read.parquet(self.path(f"{table}/{name}"))
 
     def read_runs(self, table: str, schema: T.StructType | None = None) -> DataFrame:
         """All runs of a table but those with a tombstone, whose files are not

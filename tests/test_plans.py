@@ -121,6 +121,27 @@ def test_strict_run_leaves_nothing(spark, tmp_path):
     assert not house.exists("ingestion_runs") and not house.exists("staging")
 
 
+def test_checked_rows_are_written_once(spark, tmp_path, monkeypatch):
+    house = Warehouse(spark, str(tmp_path / "house"))
+    rows = spark.createDataFrame(
+        [("2026-01-01T00:00:00Z", "a", "b", "tcp", "1"), ("x", "a", "b", "tcp", "1")],
+        "captured_at string, src_ip string, dst_ip string, protocol string, packet_size string",
+    )
+    stages, store = [], batch.store_stage
+    monkeypatch.setattr(batch, "store_stage", lambda df, name, *by: stages.append(name) or store(df, name, *by))
+    for _ in range(2):
+        audit = batch.ingest(house, rows, 1, "feed", "rows").first()
+        assert (audit.rows_received, audit.rows_inserted, audit.rows_rejected) == (2, 1, 1)
+    assert stages == [] and house.children("staging/_incoming") == []
+    # Rows that cannot be read leave those of the run's last attempt.
+    unreadable = rows.withColumn("src_ip", F.raise_error(F.lit("unreadable")).cast("string"))
+    with pytest.raises(Exception, match="unreadable"):
+        batch.ingest(house, unreadable, 1, "feed", "rows")
+    staged = house.read_runs("staging")
+    assert staged.count() == 2 and {"run_id", "is_valid", "validation_errors", "raw_record"} <= set(staged.columns)
+    assert house.read_runs("packets").count() == 1
+
+
 def test_failed_run_is_recorded(spark, tmp_path, monkeypatch):
     house = Warehouse(spark, str(tmp_path / "house"))
     good = spark.createDataFrame(

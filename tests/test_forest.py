@@ -2,6 +2,7 @@
 split by shared counts, and scores, importances and stored models are whole."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from packetlake.operators import anomaly
@@ -216,3 +217,35 @@ def test_the_offset_reads_stored_scores(spark, monkeypatch):
     monkeypatch.setattr(anomaly, "exact_quantiles", noted)
     fit_isolation_forest(rows(spark), "session_id", 3, 16)
     assert plans and not any("Python" in plan for plan in plans)
+
+
+def test_equal_rows_are_counted_once(monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = draw.integers(0, 2, (5000, 18)).astype(np.uint8)
+    rows[:, 6:] = 0
+    for mixed in (D.mix, lambda values: values & np.uint64(1)):  # also where digests meet
+        monkeypatch.setattr(D, "mix", mixed)
+        first, place = D.distinct(rows)
+        assert len(first) == 64 and (rows[first][place] == rows).all()
+    monkeypatch.undo()
+    # Blocks are large, so that equal rows meet in one.
+    count = 200_000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(count)), pa.array(np.zeros(count, np.int32)), pa.array([bytes(17)] * count, pa.binary())],
+        ["row", "label", "bins"],
+    )
+    pieces = [batch.slice(at, 10_000) for at in range(0, count, 10_000)]
+    (numbers, bins, label, place), = D._blocks(iter(pieces))
+    assert len(numbers) == count and len(bins) == len(label) == 1 and not place.any()
+    # And those of several blocks meet where a branch grows.
+    drawn = np.zeros(3000, D._ROW)
+    drawn["bins"], drawn["label"], drawn["weight"] = rows[:3000, :17], rows[:3000, 17], 1 + np.arange(3000) % 3
+    fewer = D._collapsed(drawn)
+    assert len(fewer) == 64 and fewer["weight"].sum() == drawn["weight"].sum()
+    assert (D.grow_branch(1, fewer, 42, 0, 2, 6, 2) == D.grow_branch(1, drawn, 42, 0, 2, 6, 2)).all()
+
+
+def test_draws_follow_the_poisson_distribution_exactly():
+    rows = np.arange(100_000)
+    share = (D._salted(rows, 42, 1, 7) >> np.uint64(11)) * 2.0 ** -53
+    assert (D.drawn(rows, 42, 7) == np.searchsorted(D._DRAWS, share, side="right")).all()

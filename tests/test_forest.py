@@ -249,3 +249,23 @@ def test_draws_follow_the_poisson_distribution_exactly():
     rows = np.arange(100_000)
     share = (D._salted(rows, 42, 1, 7) >> np.uint64(11)) * 2.0 ** -53
     assert (D.drawn(rows, 42, 7) == np.searchsorted(D._DRAWS, share, side="right")).all()
+
+
+def test_isolation_paths_equal_those_walked_one_by_one():
+    draw = np.random.default_rng(2)
+    sample = draw.normal(size=(64, len(FEATURE_COLS))).round(1)
+    values = draw.normal(size=(5000, len(FEATURE_COLS))).round(1)
+    values[0, 3], values[1], values[2], values[3] = np.nan, np.nan, np.inf, -np.inf
+    found = [anomaly.grow_tree(k, sample[:1 + 9 * k], 42) for k in range(8)]
+    total = np.zeros(len(values))
+    for tree in found:
+        nodes = tree.to_dict("records")
+        for i, row in enumerate(values[:400]):
+            node = nodes[0]
+            while node["feature"] != anomaly.LEAF:
+                node = nodes[int(node["left" if row[int(node["feature"])] <= node["threshold"] else "right"])]
+            total[i] += node["path"]
+    packed = [anomaly._packed(tree) for tree in found]
+    assert [tree[0] for tree in packed][0] == 0
+    assert (anomaly._path_lengths(packed, values)[:400] == total[:400]).all()
+    assert anomaly._path_lengths(packed, values[:0]).shape == (0,)

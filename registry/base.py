@@ -15,6 +15,7 @@ from packetlake.operators import features as feature_ops
 from packetlake.operators import labels as label_ops
 from packetlake.operators import sessions as session_ops
 from packetlake.session import (
+    CLEANUP_DEFAULTS,
     EVENTS_PARTITION_BYTES,
     FLOWS_PARTITION_BYTES,
     PACKET_DEFAULTS,
@@ -150,7 +151,7 @@ _TABLES: dict[tuple[str, str], Tables] = {}
 def tables(spark: SparkSession, folder: str) -> Tables:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _TABLES:
-        apply_sql_defaults(spark, **PACKET_DEFAULTS)
+        apply_sql_defaults(spark, **PACKET_DEFAULTS, **CLEANUP_DEFAULTS)
         ship_package()
         _TABLES[key] = Tables(spark, folder)
     size_shuffles(spark, _TABLES[key].shuffle_partitions)
